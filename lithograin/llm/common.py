@@ -63,11 +63,6 @@ def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only, whatever the locale."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def _ascii_lower_table() -> np.ndarray:
     lut = np.arange(256, dtype=np.uint8)
     lut[65:91] += 32

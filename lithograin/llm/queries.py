@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, packing, sharding, url_filter
+from . import decontam, exact_dedup, license_scan, line_dedup, packing, sharding, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * 24, [1.0] * 25)
 
@@ -22,6 +27,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft", "terms")
 
@@ -48,6 +57,24 @@ def _url_terms_sql() -> str:
     return f"({strict})::INT AS n_strict, ({soft})::INT AS n_soft, concat_ws(',', {listed}) AS terms"
 
 
+OP2_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, pos, source, line, trim(line, ' ') AS norm
+  FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+        FROM documents)
+), bad AS (
+  SELECT norm, min(doc_id) AS keeper FROM lines WHERE norm <> ''
+  GROUP BY norm HAVING count(DISTINCT coalesce(source, '')) >= {line_dedup.MIN_SITES}
+), marked AS (
+  SELECT l.doc_id, l.pos, l.line, b.norm IS NOT NULL AS removed
+  FROM lines l LEFT JOIN bad b ON l.norm = b.norm AND b.keeper <> l.doc_id
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT removed), '') AS text
+FROM marked GROUP BY doc_id
+"""
+
 OP8_SQL = f"""
 WITH cut AS (
   SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u,
@@ -90,8 +117,10 @@ SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, text_sha256 FROM g
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_dedup": op2_line_dedup,
         "op4_sharding": op4_sharding,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_decontamination": op7_decontamination,
         "op8_url_filter": op8_url_filter,
         "op9_packing": op9_packing,
         "op10_license_scan": op10_license_scan,
@@ -99,4 +128,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
