@@ -10,9 +10,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +112,17 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 _INVERSE = pow(_BASE, -1, 1 << 64)
+BLOCK_BYTES = 1 << 20
+_tables: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, kept for blocks of the usual size."""
+    if n > BLOCK_BYTES:
+        return _powers(n, _BASE), _powers(n, _INVERSE)
+    if not _tables:
+        _tables.extend((_powers(BLOCK_BYTES, _BASE), _powers(BLOCK_BYTES, _INVERSE)))
+    return _tables[0], _tables[1]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -167,15 +180,34 @@ class TextBatch:
         return np.repeat(np.arange(self.n), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial in an odd base modulo 2**64 from
-        one running sum over the bytes, then a finaliser with the word's length."""
-        with np.errstate(over="ignore"):
-            power = _powers(len(self.data) + 1, _BASE)
-            total = np.zeros(len(self.data) + 1, dtype=np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
-            back = _powers(len(self.data) + 1, _INVERSE)
-            value = (total[self.ends] - total[self.starts]) * back[self.starts]
-            return mix64(value + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        """A 64-bit hash of each word: a polynomial in an odd base modulo 2**64 from a
+        running sum over the bytes, then a finaliser with the word's length. Done in blocks
+        of about a megabyte, so that a very long text needs no more memory at once."""
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        at = 0
+        while at < len(out):
+            low = int(self.starts[at])
+            to = max(at + 1, int(np.searchsorted(self.ends, low + BLOCK_BYTES, side="right")))
+            starts, ends = self.starts[at:to] - low, self.ends[at:to] - low
+            n = int(ends[-1])
+            power, back = _power_tables(n)
+            with np.errstate(over="ignore"):
+                total = np.zeros(n + 1, dtype=np.uint64)
+                np.cumsum((self.data[low : low + n].astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+                value = (total[ends] - total[starts]) * back[starts]
+                out[at:to] = mix64(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            at = to
+        return out
+
+
+def text_pieces(batch: pa.RecordBatch, column: int, max_bytes: int = 1 << 20, max_rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``max_bytes`` of text each, one row at least."""
+    sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)).astype(np.int64)
+    group, at = np.cumsum(sizes) // max_bytes, 0
+    while at < batch.num_rows:
+        to = min(at + max_rows, max(at + 1, int(np.searchsorted(group, group[at], side="right"))))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def hash_words(words: list[str], separators: np.ndarray = SPACE) -> np.ndarray:

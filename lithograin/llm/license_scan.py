@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM, TextBatch, hash_words, text_or_empty
+from .common import NON_ALNUM, TextBatch, hash_words, text_or_empty, text_pieces
 
 #: Phrase and label.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -71,8 +71,8 @@ def template_frequencies(docs: DataFrame, words: list[str], text: str = "text")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocabulary), dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                hashes = TextBatch(batch.column(0).slice(at, 512), NON_ALNUM).hashes()
+            for piece in text_pieces(batch, 0):
+                hashes = TextBatch(piece.column(0), NON_ALNUM).hashes()
                 where, hit = _lookup(vocabulary, hashes)
                 total += np.bincount(where[hit], minlength=len(vocabulary))
         yield pa.RecordBatch.from_arrays([pa.array(vocabulary.view(np.int64)), pa.array(total)], names=["word", "n"])
@@ -186,8 +186,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for piece in text_pieces(batch, 1):
                 yield part(piece.column(0), piece.column(1))
 
     return docs.select(F.col(key), text_or_empty(text).alias(text)).mapInArrow(scan, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, license_scan, line_dedup, packing, sharding, url_filter
+from . import decontam, exact_dedup, license_scan, line_dedup, minhash, packing, sharding, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * 24, [1.0] * 25)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -119,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
         "op4_sharding": op4_sharding,
+        "op5_near_dedup": op5_near_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_decontamination": op7_decontamination,
         "op8_url_filter": op8_url_filter,
