@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, license_scan, line_dedup, minhash, packing, quality, sharding, url_filter
+from . import decontam, exact_dedup, license_scan, line_dedup, lm, minhash, packing, quality, sharding, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(quality.in_fold("doc_id", 7, 2), F.lit(False))
+    scored = lm.score_texts(docs, ~held_out)
+    return scored.withColumn("held_out", F.coalesce(quality.in_fold("doc_id", 7, 2), F.lit(False)))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * 24, [1.0] * 25)
 
@@ -127,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_line_dedup": op2_line_dedup,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_sharding": op4_sharding,
         "op5_near_dedup": op5_near_dedup,
         "op6_exact_dedup": op6_exact_dedup,
