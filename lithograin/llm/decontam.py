@@ -98,5 +98,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that overlap with no benchmark item, with all their columns."""
-    dirty = contamination(docs, benchmark, key, text, **options).select(F.col(key).alias("_dirty")).distinct()
-    return docs.join(dirty, F.col(key).eqNullSafe(F.col("_dirty")), "left_anti")
+    dirty = contamination(docs, benchmark, key, text, **options).select(F.col(key).alias("__lithograin_dirty")).distinct()
+    return docs.join(dirty, F.col(key).eqNullSafe(F.col("__lithograin_dirty")), "left_anti")

@@ -19,6 +19,8 @@ from .common import materialize, text_or_empty
 MIN_SITES = 8
 #: Registers of a sketch are 2**PRECISION; the standard error is 1.04 / sqrt of that.
 PRECISION = 8
+#: Names of columns that stand beside the caller's for a while.
+OWNER, DROPPED, LEFT = "__lithograin_owner", "__lithograin_dropped", "__lithograin_left"
 
 
 def lines_of(text: Column) -> Column:
@@ -74,15 +76,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site:
     A line (without white space at its ends) on ``min_sites`` sites or more is removed
     from every document but the one with the smallest key that has it. A null site is a
     site of its own; a null text becomes empty; empty lines stay. Rows that repeat a key are cleaned alike.
-    Columns named ``_drop``, n_lines or n_removed are replaced.
+    Columns named n_lines or n_removed are replaced.
     """
     found = materialize(boilerplate_lines(docs, key, text, site, min_sites, precision), "boilerplate")
     body = text_or_empty(text)
     pairs = docs.select(F.col(key), F.explode(F.array_distinct(F.transform(lines_of(body), line_hash))).alias("line"))
-    drops = pairs.join(found, "line").where(~F.col("keeper").eqNullSafe(F.col(key))).groupBy(F.col(key).alias("_key")).agg(F.collect_set("line").alias("_drop"))
-    joined = docs.drop("_drop", "n_lines", "n_removed").join(drops, F.col(key).eqNullSafe(F.col("_key")), "left")
+    drops = pairs.join(found, "line").where(~F.col("keeper").eqNullSafe(F.col(key))).groupBy(F.col(key).alias(OWNER)).agg(F.collect_set("line").alias(DROPPED))
+    joined = docs.drop("n_lines", "n_removed").join(drops, F.col(key).eqNullSafe(F.col(OWNER)), "left")
     lines = lines_of(body)
-    left = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("_drop", line_hash(x))))
-    out = joined.withColumn("_left", left)
-    cleaned = F.when(F.col("_drop").isNull(), body).otherwise(F.array_join("_left", "\n"))
-    return out.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": (F.size(lines) - F.size("_left")).cast("long")}).withColumn(text, cleaned).drop("_left", "_drop", "_key")
+    left = F.when(F.col(DROPPED).isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(DROPPED, line_hash(x))))
+    out = joined.withColumn(LEFT, left)
+    cleaned = F.when(F.col(DROPPED).isNull(), body).otherwise(F.array_join(LEFT, "\n"))
+    return out.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": (F.size(lines) - F.size(LEFT)).cast("long")}).withColumn(text, cleaned).drop(LEFT, DROPPED, OWNER)

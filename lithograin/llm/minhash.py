@@ -140,8 +140,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, config: Near
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))], names=["id", "shingles"])
 
-    wanted = docs.join(ids.select(F.col("id").alias("_id")), F.col(key) == F.col("_id"), "left_semi")
-    return wanted.select(F.col(key), text_or_empty(text).alias(text)).mapInArrow(sets, f"id {kind}, shingles array<long>")
+    own = docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text"))
+    return own.join(ids, "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles array<long>")
 
 
 def verified_links(docs: DataFrame, pairs: DataFrame, key: str, text: str, config: NearDupConfig) -> DataFrame:
@@ -227,14 +227,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", co
 
     The set of a text: distinct shingles of ``words`` words (white-space separated, A-Z
     lower-cased); with fewer words the whole sequence as one. A null, empty or blank text
-    has no set, is linked with nothing and stays. ``component_id`` is the smallest key that
+    has no set, is linked with nothing and stays, as does a row with a null key. ``component_id`` is the smallest key that
     links reach. Rows that repeat a key are documents of their own with that id; an empty
     table gives an empty result; other columns are ignored. The key must be an integer.
     """
     config = config or NearDupConfig()
     sketch = materialize(sketches(docs, key, text, config), "sketches")
     best = F.min(F.struct(F.col(key).alias("id"), F.col("n_shingles").alias("n"), "bands", "sig")).alias("best")
-    nodes = materialize(sketch.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(best).select("set_hi", "set_lo", "best.*"), "nodes")
+    nodes = materialize(sketch.where((F.col("n_shingles") > 0) & F.col(key).isNotNull()).groupBy("set_hi", "set_lo").agg(best).select("set_hi", "set_lo", "best.*"), "nodes")
     rows = bucket_rows(nodes)
     leaders = materialize(rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"), "leaders")
     members = rows.join(leaders, "bucket")
@@ -249,11 +249,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", co
         component = connected_components(first.unionByName(verified_links(docs, more, key, text, config)))
     labels = nodes.select("set_hi", "set_lo", "id").join(component.withColumnRenamed("node", "id"), "id", "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component_id"))
     found = sketch.select(key, "n_shingles", "set_hi", "set_lo").join(labels, ["set_hi", "set_lo"], "left")
-    own = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col(key))
+    own = F.when((F.col("n_shingles") > 0) & F.col(key).isNotNull(), F.col("component_id")).otherwise(F.col(key))
     return found.select(key, "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col(key)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", config: NearDupConfig | None = None) -> DataFrame:
     """The documents that stay: one of each component, and all without words; all input columns."""
-    kept = near_duplicates(docs, key, text, config).where("kept").select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key) == F.col("_kept"), "left_semi")
+    kept = near_duplicates(docs, key, text, config).where("kept").select(F.col(key).alias("__lithograin_kept")).distinct()
+    return docs.join(kept, F.col(key).eqNullSafe(F.col("__lithograin_kept")), "left_semi")

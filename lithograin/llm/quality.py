@@ -250,7 +250,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     totals = {r["_label"]: r["n"] for r in marked.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = [marked.where(F.col("_label") == y).orderBy(F.xxhash64("_key"), "_key").limit(config.max_docs_per_class) for y in (0, 1)]
-    sample = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col(key) == F.col("_key")).where(F.size(F.split(text_or_empty(text), "\n")) <= config.max_train_lines)
+    sample = docs.select(key, text).join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col(key) == F.col("_key")).where(F.size(F.split(text_or_empty(text), "\n")) <= config.max_train_lines)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

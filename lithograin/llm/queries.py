@@ -59,6 +59,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_blocks", F.size("blocks").cast("long")).drop("blocks")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it stands at the repository's top and imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def _url_terms_sql() -> str:
     policy = url_filter.UrlPolicy()
 
@@ -142,6 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_packing": op9_packing,
         "op10_license_scan": op10_license_scan,
+        "pipeline": pipeline,
     }
 
 
