@@ -126,21 +126,21 @@ def _total(c: Column, op: Operator, kind: T.DataType) -> Column:
         case "ge":
             return c.isNull() if null else (c >= x[0]) | c.isNull()
         case "lt":
-            return c.isNotNull() if null else F.coalesce(c < x[0], no)
+            return c.isNotNull() if null else c < x[0]
         case "le":
-            return yes if null else F.coalesce(c <= x[0], no)
+            return yes if null else c <= x[0]
         case "between":
             low, high = (Operator("ge", op.values[:1]), Operator("le", op.values[1:]))
             if None not in op.values:
-                return F.coalesce(c.between(*x), no)
+                return c.between(*x)
             return _total(c, low, kind) & _total(c, high, kind)
         case "in" | "not_in":
             listed = [v for v, raw in zip(x, op.values, strict=True) if raw is not None]
-            found = F.coalesce(c.isin(*listed), no) if listed else no
+            found = c.isin(*listed) if listed else no
             found = found | c.isNull() if None in op.values else found
-            return found if op.kind == "in" else ~found
+            return found if op.kind == "in" else ~F.coalesce(found, no)
         case "like":
-            return F.coalesce(like(c, op.value), no)
+            return like(c, op.value)
         case "not_like":
             return ~F.coalesce(like(c, op.value), no)
     raise QueryError(f"unknown operator {op.kind}")
@@ -175,6 +175,8 @@ def _ansi(c: Column, op: Operator, kind: T.DataType) -> Column:
 
 
 def compile_operator(column: Column, op: Operator, kind: T.DataType, semantics: str = TOTAL) -> Column:
+    """The condition for a WHERE, which keeps a row where it's true; it may be NULL where it isn't,
+    so that the scan can take it over as it is."""
     if op.kind == "is_null":
         return column.isNull()
     if op.kind == "is_not_null":
