@@ -66,13 +66,8 @@ def line_features(texts: pa.Array) -> LineBatch:
     size = len(batch.raw)
     starts = np.sort(np.concatenate([batch.bounds[:-1], np.flatnonzero(batch.raw == 10) + 1]))
     n = len(starts)
-    first = np.searchsorted(starts, batch.bounds[:-1], side="left")
-    empty_docs = np.flatnonzero(np.diff(batch.bounds) == 0)
-    if len(empty_docs):  # several texts may begin at the same byte: each has a line of its own
-        ties = np.concatenate([[0], np.cumsum(np.diff(batch.bounds[:-1]) == 0)]) if batch.n else np.zeros(0, np.int64)
-        run_start = np.searchsorted(batch.bounds[:-1], batch.bounds[:-1], side="left")
-        first = first + ties - ties[run_start]
-    first = np.append(first, n).astype(np.int64)
+    breaks = np.concatenate([[0], np.cumsum(batch.raw == 10, dtype=np.int64)])
+    first = np.concatenate([[0], np.cumsum(np.diff(breaks[batch.bounds]) + 1)]).astype(np.int64)
     ends = np.append(starts[1:], size)
     length = ends - starts
     counts = np.zeros((n, KINDS))
