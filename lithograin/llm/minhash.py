@@ -7,8 +7,9 @@
    each is paired with the bucket's smallest one; no other pair is made there.
 3. Pairs that pass a length filter and a signature filter are verified on full sets.
    Verified links give components.
-4. Only where a bucket still holds several components are its other pairs compared,
-   block by block, across components; what passes the filters is verified as well.
+4. Only where a bucket still holds several components are its other pairs compared, block
+   by block, across components, and only in the first band that a pair shares. A block
+   verifies them on full sets and returns the links that join components, never its pairs.
 
 With 32 bands of 4 rows a link at similarity 0.75 is missed with a chance under 6e-6.
 """
@@ -38,8 +39,9 @@ class NearDupConfig:
     seed: int = 20240229
     #: Standard deviations that a signature may lie below the threshold.
     slack: float = 5.7
-    #: Members of a block of a bucket; bounds a task's memory.
+    #: Members of a block of a bucket, and shingles in their sets; they bound a task's memory.
     block: int = 512
+    block_shingles: int = 1 << 20
     #: Buckets above this size are first split by a second band.
     split_above: int = 4096
 
@@ -144,10 +146,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, config: Near
     return own.join(ids, "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles array<long>")
 
 
-def verified_links(docs: DataFrame, pairs: DataFrame, key: str, text: str, config: NearDupConfig) -> DataFrame:
+def verified_links(sets: DataFrame, pairs: DataFrame, config: NearDupConfig) -> DataFrame:
     """u, v of the pairs whose full sets pass the threshold."""
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = materialize(full_sets(docs, ids, key, text, config), "sets")
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
     both = pairs.join(left, "u").join(right, "v")
@@ -172,54 +172,107 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, config: NearDupConfig) -> D
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """bucket, id: one row for each band of each node."""
+    """bucket, band, id: one row for each band of each node."""
     banded = nodes.select("id", F.posexplode("bands").alias("band", "value"))
-    return banded.select(F.xxhash64("band", "value").alias("bucket"), "id")
+    return banded.select(F.xxhash64("band", "value").alias("bucket"), "band", "id")
 
 
-def cross_pairs(members: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
-    """Likely pairs of different components in the same bucket.
-
-    ``members``: bucket, id, component. A large bucket is split by every other band (a
-    linked pair shares some other band as surely as it shared the first); what is still
-    large is compared in pairs of blocks, each by a task of its own.
-    """
+def finer_buckets(members: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
+    """Splits large buckets by every other band: a linked pair shares some other band as
+    surely as it shared the first. Buckets that no band splits stay as they are."""
     rows = members
     for _ in range(3):
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-        large = sizes.where(F.col("size") > config.split_above).select("bucket")
+        large = materialize(sizes.where(F.col("size") > config.split_above), "large")
         if large.isEmpty():
             break
-        again = rows.join(large, "bucket", "left_semi").join(nodes.select("id", "bands"), "id").select("bucket", "id", "component", F.posexplode("bands").alias("band", "value"))
-        finer = again.select(F.xxhash64("bucket", "band", "value").alias("bucket"), "id", "component")
-        # The band that made the bucket itself splits nothing; such a copy of the bucket would stay large.
-        same = finer.groupBy("bucket").agg(F.count(F.lit(1)).alias("now"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        finer = finer.join(same.where("lo <> hi").select("bucket"), "bucket", "left_semi")
-        whole = again.groupBy("bucket", "band").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo = hi").select(F.xxhash64("bucket", "band", "lo").alias("bucket")).distinct()
-        rows = materialize(rows.join(large, "bucket", "left_anti").unionByName(finer.join(whole, "bucket", "left_anti")), "finer")
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    blocks = rows.join(sizes, "bucket").withColumn("parts", F.ceil(F.col("size") / config.block).cast("int")).withColumn("part", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("parts")).cast("int"))
-    spread = blocks.select("bucket", "id", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("bucket", "id", "component", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    full = spread.join(nodes.select("id", "n", "sig"), "id")
-    least, percent = config.least_equal, config.percent
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
-        left = pdf[pdf["part"] == p]
-        right = left if p == q else pdf[pdf["part"] == q]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"u": pdf["id"][:0], "v": pdf["id"][:0]})
-        sig = np.stack([np.frombuffer(s, np.uint8) for s in right["sig"]])
-        ids, parts, sizes = right["id"].to_numpy(), right["component"].to_numpy(), right["n"].to_numpy()
-        found: list[tuple] = []
-        for u, c, n, s in zip(left["id"], left["component"], left["n"], left["sig"], strict=True):
-            may = np.flatnonzero((parts != c) & (np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * percent))
-            hit = may[(sig[may] == np.frombuffer(s, np.uint8)).sum(axis=1) >= least]
-            found += [(max(u, v), min(u, v)) for v in ids[hit]]
-        return pd.DataFrame(found, columns=["u", "v"]).astype(pdf["id"].dtype).drop_duplicates()
-
+        again = rows.join(large, "bucket").join(nodes.select("id", "bands"), "id").select("bucket", "size", "band", "id", "component", F.posexplode("bands").alias("other", "value"))
+        finer = again.where("other <> band").select("bucket", "size", F.xxhash64("bucket", "other", "value").alias("finer"), "band", "id", "component")
+        parts = finer.groupBy("bucket", "size", "finer").agg(F.count(F.lit(1)).alias("now"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        # A part as large as its bucket holds all of its pairs, so that bucket needs no other part.
+        whole = parts.where("now = size").groupBy("bucket").agg(F.min("finer").alias("finer"))
+        whole = materialize(whole, "whole")
+        smaller = finer.join(parts.where("lo <> hi").select("finer"), "finer", "left_semi").join(whole.select("bucket"), "bucket", "left_anti")
+        unsplit = rows.join(whole.select("bucket"), "bucket", "left_semi")
+        rest = rows.join(large.select("bucket"), "bucket", "left_anti")
+        rows = materialize(rest.unionByName(unsplit).unionByName(smaller.select(F.col("finer").alias("bucket"), "band", "id", "component")), "finer")
+    return rows
+
+
+def blocks_of(members: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
+    """Each member once for every pair (p, q) of its bucket's parts that its own part is in.
+    A part has about ``block`` members, and fewer where their sets are large."""
+    rows = members.join(nodes.select("id", "n"), "id")
+    sizes = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / config.block), F.ceil(F.sum("n") / config.block_shingles)).cast("int").alias("parts"))
+    dealt = rows.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("parts")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return spread.select("bucket", "band", "id", "component", "n", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+
+
+def _likely_in_block(pdf: pd.DataFrame, config: NearDupConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers i, j and equal signature bytes of the block's pairs that pass all filters,
+    lie in different components and share no band before the block's own."""
+    p, q, band = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0]), int(pdf["band"].iloc[0])
+    part, component, n, ids = (pdf[c].to_numpy() for c in ("part", "component", "n", "id"))
+    sig = np.stack([np.frombuffer(x, np.uint8) for x in pdf["sig"]])
+    bands = np.stack([np.asarray(x, np.int32)[:band] for x in pdf["bands"]])
+    left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in left:
+        may = right[(component[right] != component[i]) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * config.percent)]
+        may = may[ids[may] > ids[i]] if p == q else may
+        if len(may):
+            equal = (sig[may] == sig[i]).sum(axis=1)
+            keep = equal >= config.least_equal
+            keep &= ~(bands[may] == bands[i]).any(axis=1)
+            if keep.any():
+                found.append((np.full(int(keep.sum()), i), may[keep], equal[keep]))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def joining_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, config: NearDupConfig) -> DataFrame:
+    """u, v: verified links between components that share a bucket; in each block only those
+    that join what the block hasn't joined yet. ``members``: bucket, band, id, component."""
     kind = nodes.schema["id"].dataType.simpleString()
-    return full.groupBy("bucket", "p", "q").applyInPandas(compare, f"u {kind}, v {kind}").distinct()
+    blocks = blocks_of(finer_buckets(members, nodes, config), nodes, config)
+    signed = blocks.join(nodes.select("id", "sig", "bands"), "id")
+
+    def involved(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j, _ = _likely_in_block(pdf, config)
+        return pdf.loc[pdf.index[np.union1d(i, j)], ["bucket", "band", "id", "component", "n", "part", "p", "q"]]
+
+    schema = f"bucket long, band int, id {kind}, component {kind}, n long, part int, p int, q int"
+    asked = materialize(signed.groupBy("bucket", "p", "q").applyInPandas(involved, schema), "asked")
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j, equal = _likely_in_block(pdf, config)
+        ids, component = pdf["id"].to_numpy(), pdf["component"].to_numpy()
+        sets = [np.asarray(x) for x in pdf["shingles"]]
+        parent = {c: c for c in component.tolist()}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        links = []
+        for k in np.argsort(-equal, kind="stable").tolist():
+            a, b = int(i[k]), int(j[k])
+            x, y = root(component[a]), root(component[b])
+            if x == y:
+                continue
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if common * 100 >= (len(sets[a]) + len(sets[b]) - common) * config.percent:
+                links.append((max(ids[a], ids[b]), min(ids[a], ids[b])))
+                parent[max(x, y)] = min(x, y)
+        return pd.DataFrame(links, columns=["u", "v"]).astype(pdf["id"].dtype)
+
+    whole = asked.join(nodes.select("id", "sig", "bands"), "id").join(sets, "id")
+    return whole.groupBy("bucket", "p", "q").applyInPandas(verify, f"u {kind}, v {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", config: NearDupConfig | None = None) -> DataFrame:
@@ -238,15 +291,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", co
     rows = bucket_rows(nodes)
     leaders = materialize(rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"), "leaders")
     members = rows.join(leaders, "bucket")
+    sets = materialize(full_sets(docs, members.select("id").distinct(), key, text, config), "sets")
     pairs = members.where("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
-    first = materialize(verified_links(docs, materialize(likely_pairs(pairs, nodes, config), "pairs"), key, text, config), "first")
+    first = materialize(verified_links(sets, materialize(likely_pairs(pairs, nodes, config), "pairs"), config), "first")
     component = connected_components(first)
-    labelled = members.where("size > 2").join(component.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    labelled = members.where("size > 2").join(component.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     open_rows = materialize(labelled.join(mixed, "bucket", "left_semi"), "open")
-    more = materialize(cross_pairs(open_rows, nodes, config).join(pairs, ["u", "v"], "left_anti"), "more")
+    more = materialize(joining_links(open_rows, nodes, sets, config), "more")
     if not more.isEmpty():
-        component = connected_components(first.unionByName(verified_links(docs, more, key, text, config)))
+        component = connected_components(first.unionByName(more))
     labels = nodes.select("set_hi", "set_lo", "id").join(component.withColumnRenamed("node", "id"), "id", "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component_id"))
     found = sketch.select(key, "n_shingles", "set_hi", "set_lo").join(labels, ["set_hi", "set_lo"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col(key).isNotNull(), F.col("component_id")).otherwise(F.col(key))
