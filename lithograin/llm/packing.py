@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ WINDOW = 1024
 END_ID = 0
 #: Open windows of a task before they are closed early; bounds a task's memory.
 OPEN_LIMIT = 16384
-#: Chunks whose ids a task remembers; bounds a task's memory.
-CACHE_LIMIT = 400_000
+#: Chunks whose ids a Python worker remembers; bounds its memory.
+CACHE_LIMIT = 700_000
 #: Sequence ids of task k start at k << TASK_BITS.
 TASK_BITS = 38
 
@@ -50,15 +51,16 @@ class ChunkTokenizer:
         self.limit = cache_limit
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+        return [pack(f"<{len(ids := e.ids)}I", *ids) for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def chunks(text: str) -> list[str] | None:
         """The chunks, or None where the text must be encoded whole. A chunk after a
         line break starts with it; other chunks but the first stand for ' ' + chunk."""
-        if any(c in text for c in ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", " ", " ", " ", " ", " ", "　", "<|")) or any(chr(c) in text for c in range(0x2000, 0x200B)):
-            return None
-        if not text or text[0] in " \n" or text[-1] in " \n":
+        words = text.split()
+        gaps = len(text) - len("".join(words))
+        # One white-space character between words, none at the ends, blanks and line breaks only, and no special token.
+        if gaps != len(words) - 1 or text.count(" ") + text.count("\n") != gaps or "<|" in text:
             return None
         first, *rest = text.replace("\n", " \n").split(" ")
         return ["\x00" + first, *rest]
@@ -78,6 +80,16 @@ class ChunkTokenizer:
         return [next(whole) if chunks is None else b"".join(map(get, chunks)) for chunks in split]
 
 
+_tokenizers: dict[str, ChunkTokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> ChunkTokenizer:
+    """One per worker process, so that later tasks of a worker find the chunks of earlier ones."""
+    if path not in _tokenizers:
+        _tokenizers[path] = ChunkTokenizer(path)
+    return _tokenizers[path]
+
+
 class LevelPacker:
     """Packs (key, ids) online; ``out`` gets (key, start, ids, total, sequence, offset)."""
 
@@ -181,7 +193,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", te
     schema = f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         packer = LevelPacker(window, (task.partitionId() if task else 0) << TASK_BITS)
         encoder = None
@@ -206,7 +218,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", te
 
         batch_kind = None
         for batch in batches:
-            encoder = encoder or ChunkTokenizer(tokenizer_path)
+            encoder = encoder or worker_tokenizer(tokenizer_path)
             batch_kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -217,4 +229,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", te
         if batch_kind is not None:
             yield from rows()
 
-    return docs.select(F.col(key), text_or_empty(text).alias(text)).mapInArrow(pack, schema)
+    return docs.select(F.col(key), text_or_empty(text).alias(text)).mapInArrow(pack_task, schema)
