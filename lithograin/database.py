@@ -222,6 +222,10 @@ class Database:
         rows = self.table(name)
         return rows.where(F.col(f"`{resolve(rows, column)}`").startswith(prefix))
 
+    def search_all(self, name: str, conditions: Sequence[Filter]) -> DataFrame:
+        """Rows that meet conditions on several indexed columns."""
+        return self.scan(name, conditions)
+
     def search_any(self, name: str, column: str, values: Sequence) -> DataFrame:
         return self.scan(name, [Filter(column, is_in(values))])
 
@@ -245,6 +249,12 @@ class Database:
     def drop_index(self, name: str, column: str) -> None:
         self._stored(name).drop_index(column)
 
+    def rebuild_index(self, name: str, column: str) -> ColumnStatistics:
+        """Sorts the files by the column again, after changes, and gives fresh statistics."""
+        self._stored(name).rebuild_index(column)
+        self._changed(name)
+        return self.column_stats(name, column)
+
     def list_indexes(self, name: str) -> list[str]:
         return self._stored(name).indexes()
 

@@ -337,6 +337,41 @@ def get_by_ids(spark, sf_dir):
     return db.get_by_ids("t", [*wanted, 10**9], projection=["s_suppkey", "s_name"])
 
 
+def on_database(name: str, table: str, sql: str, plan: Callable[[Database], DataFrame]) -> None:
+    """A query through the direct API, over a registered table ``t``."""
+
+    def run(spark, sf_dir):
+        db = Database.temporary(spark)
+        db.register("t", read(spark, sf_dir, table))
+        return plan(db)
+
+    register(name, sql)(run)
+
+
+on_database("index_equality", "orders", "SELECT * FROM orders WHERE o_custkey = 42", lambda db: db.search("t", "o_custkey", 42))
+on_database("index_range", "orders", "SELECT * FROM orders WHERE o_orderkey BETWEEN 500 AND 700", lambda db: db.range_query("t", "o_orderkey", 500, 700))
+on_database("index_greater", "orders", "SELECT * FROM orders WHERE o_totalprice >= 450000", lambda db: db.greater("t", "o_totalprice", 450000.0, inclusive=True))
+on_database("index_less", "orders", "SELECT * FROM orders WHERE o_totalprice < 5000", lambda db: db.less("t", "o_totalprice", 5000.0))
+on_database("index_prefix", "customer", "SELECT * FROM customer WHERE starts_with(c_name, 'Customer#00000012')", lambda db: db.prefix_search("t", "c_name", "Customer#00000012"))
+on_database("index_in", "orders", "SELECT * FROM orders WHERE o_custkey IN (1, 3, 5)", lambda db: db.search_any("t", "o_custkey", [1, 3, 5]))
+on_database("index_intersection", "orders", "SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey < 100", lambda db: db.search_all("t", [Filter("o_orderpriority", P.equals("1-URGENT")), Filter("o_custkey", P.less_than(100))]))
+
+
+@register("sorted_index_round_trip", "SELECT * FROM supplier WHERE s_acctbal BETWEEN 100 AND 5000")
+def sorted_index_round_trip(spark, sf_dir):
+    """Indexed, changed, rebuilt, saved, opened again and kept in memory."""
+    db = Database.temporary(spark)
+    db.insert_dataframe("t", read(spark, sf_dir, "supplier"))
+    db.create_index("t", "s_acctbal", sort=True)
+    db.insert_batch("t", SUPPLIERS)
+    db.delete("t", [Filter("s_suppkey", P.greater_or_equal(100001))])
+    db.rebuild_index("t", "s_acctbal")
+    copy = Database.temporary(spark)
+    db.save(copy.data_dir)
+    copy.load_to_memory("t")
+    return copy.range_query("t", "s_acctbal", 100.0, 5000.0)
+
+
 on_table(
     "column_stats",
     "lineitem",

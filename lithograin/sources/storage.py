@@ -171,9 +171,21 @@ class StoredTable:
         m = self.manifest()
         if column in m["indexes"]:
             raise IndexError_(f"an index on {column} exists")
-        parts = [self._write(self.rows(m).sortWithinPartitions(F.col(f"`{column}`").asc_nulls_last()))] if sort and m["parts"] else m["parts"]
+        parts = [self._write_sorted(m, column)] if sort and m["parts"] else m["parts"]
         self._commit(m, indexes=[*m["indexes"], column], parts=parts)
 
+    def _write_sorted(self, m: dict, column: str) -> str:
+        """One part whose files hold ranges of the column, each sorted by it."""
+        key = F.col(f"`{column}`").asc_nulls_last()
+        return self._write(self.rows(m).repartitionByRange(key).sortWithinPartitions(key))
+
+    def rebuild_index(self, column: str) -> None:
+        m = self.manifest()
+        if column not in m["indexes"]:
+            raise IndexError_(f"no index on {column}")
+        if m["parts"]:
+            self._commit(m, parts=[self._write_sorted(m, column)])
+
     def drop_index(self, column: str) -> None:
         m = self.manifest()
         if column not in m["indexes"]:

@@ -109,7 +109,11 @@ def test_indexes_and_top_k(db):
     s = db.column_stats("p", "price")
     assert (s.total_entries, s.cardinality, s.min_value, s.max_value, s.is_unique, s.selectivity) == (10, 10, 10, 100, True, 1.0)
     assert s.estimate_rows(P.between(10, 55)) == 5 and s.estimate_rows(P.equals(1)) == 1 and s.estimate_rows(P.is_null()) == 10
+    db.insert_row("p", (11, 5))
+    assert db.rebuild_index("p", "price").min_value == 5
     db.drop_index("p", "price")
+    with pytest.raises(IndexError_):
+        db.rebuild_index("p", "price")
     assert db.list_indexes("p") == []
 
 
