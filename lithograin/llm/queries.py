@@ -136,6 +136,69 @@ SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, text_sha256 FROM g
 """
 
 
+ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ALNUM_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def _seeds_sql(source: str, key: str) -> str:
+    """key, words, n, pos, seed of every window and mask."""
+    masks = " UNION ALL ".join(f"SELECT {k} AS mask, [{', '.join(str(i) for i, bit in enumerate(m) if bit == '1')}] AS places" for k, m in enumerate(decontam.MASKS))
+    span = len(decontam.MASKS[0])
+    return f"""
+    SELECT {key}, words, len(words) AS n, pos, mask || ' ' || array_to_string([words[pos + p + 1] FOR p IN places], ' ') AS seed
+    FROM (SELECT {key}, words, unnest(range(0, greatest(len(words) - {span} + 1, 0))) AS pos
+          FROM (SELECT {key}, regexp_extract_all(lower(coalesce(text, '')), {ALNUM_WORDS}) AS words FROM {source})), ({masks})
+    """
+
+
+OP7_SQL = f"""
+WITH train AS ({_seeds_sql("documents", "doc_id")}),
+test AS ({_seeds_sql("benchmark", "item_id")}),
+hits AS (
+  SELECT DISTINCT doc_id, item_id, a.pos AS pos, b.pos AS item_pos, a.words AS dw, b.words AS iw, b.n AS n_item,
+         least({decontam.WINDOW}, b.n) AS size, a.pos - b.pos AS shift
+  FROM train a JOIN test b ON a.seed = b.seed
+), judged AS (
+  SELECT doc_id, item_id, pos, shift, size,
+    list_max([len([k FOR k IN range(0, size) IF s + k + shift >= 0 AND iw[s + k + 1] = dw[CASE WHEN s + k + shift >= 0 THEN s + k + shift + 1 END]])
+              FOR s IN range(greatest(0, item_pos + {len(decontam.MASKS[0])} - size), least(item_pos, n_item - size) + 1)]) AS matched
+  FROM hits
+)
+SELECT doc_id, item_id, count(DISTINCT shift) AS n_places, min(pos) AS first_word, max(matched) AS matched, max(size) AS compared
+FROM judged WHERE matched >= ceil(size * {decontam.MIN_SHARE} - 1e-9) GROUP BY doc_id, item_id
+"""
+
+
+def _license_sql() -> str:
+    templates = ", ".join(f"{{'label': '{label}', 'words': {words}}}" for label, words in license_scan.template_words())
+    places, labelled = [], []
+    for phrase, label in license_scan.PHRASES:
+        words = phrase.split()
+        same = " AND ".join(f"words[i + {k + 1}] = '{w}'" for k, w in enumerate(words))
+        found = f"[i FOR i IN range(0, greatest(len(words) - {len(words)} + 1, 0)) IF {same}]"
+        places.append(found)
+        labelled.append(f"CASE WHEN len({found}) > 0 THEN '{label}' END")
+    return f"""
+WITH t AS (SELECT unnest([{templates}], recursive := true)),
+d AS (SELECT doc_id, {ASCII_LOWER} AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, {ALNUM_WORDS}) AS words FROM d),
+b AS (SELECT doc_id, words, list_concat({", ".join(places)}) AS places, [x FOR x IN [{", ".join(labelled)}] IF x IS NOT NULL] AS base FROM w),
+lines AS (SELECT doc_id, list_distinct(regexp_extract_all(line, {ALNUM_WORDS})) AS own FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+m AS (
+  SELECT doc_id, label, len(list_intersect(own, t.words)) / len(t.words) AS share
+  FROM lines, t WHERE len(list_intersect(own, t.words)) >= ceil({license_scan.CONTAINMENT} * len(t.words) - 1e-9)
+), g AS (SELECT doc_id, list(label) AS found, max(share) AS best, count(*) AS n_blocks FROM m GROUP BY doc_id)
+SELECT b.doc_id, len(words) AS n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+       array_to_string(list_sort(base), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, coalesce(found, [])))), ',') AS labels,
+       greatest(CASE WHEN len(base) > 0 THEN 1.0 ELSE 0.0 END, coalesce(best, 0.0)) AS score, coalesce(n_blocks, 0) AS n_blocks
+FROM b LEFT JOIN g ON b.doc_id = g.doc_id
+"""
+
+
+OP10_SQL = _license_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -153,4 +216,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_license_scan": OP10_SQL}

@@ -73,6 +73,6 @@ def test_registered_queries(spark, data_dir):
     assert set(__spark_entry__.oracle_sql()) <= names
 
 
-@pytest.mark.parametrize("name", ["op2_line_dedup", "op6_exact_dedup", "op8_url_filter"])
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op6_exact_dedup", "op7_decontamination", "op8_url_filter", "op10_license_scan"])
 def test_sql(spark, data_dir, name):
     assert_same(__spark_entry__.queries()[name](spark, data_dir), connect(data_dir), __spark_entry__.oracle_sql()[name])
