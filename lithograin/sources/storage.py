@@ -20,8 +20,8 @@ from ..types import fit_row
 from .files import Files
 
 ROW_ID = "_row_id"
-#: Row ids of a loaded DataFrame are spread over this many ids for each of its partitions.
-PARTITION_IDS = 1 << 33
+#: Rows of an inserted batch that share a file.
+ROWS_PER_FILE = 250_000
 KEEP_MANIFESTS = 2
 
 
@@ -109,7 +109,8 @@ class StoredTable:
             return []
         schema, first = self.schema(m), m["next_id"]
         data = [(first + i, *fit_row(r, schema)) for i, r in enumerate(rows)]
-        part = self._write(self.spark.createDataFrame(data, self._stored_schema(m)))
+        files = -(-len(data) // ROWS_PER_FILE)
+        part = self._write(self.spark.createDataFrame(data, self._stored_schema(m)).coalesce(files))
         self._commit(m, parts=[*m["parts"], part], next_id=first + len(rows))
         return list(range(first, first + len(rows)))
 
