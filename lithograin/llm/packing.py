@@ -202,7 +202,7 @@ class LevelPacker:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length.
+    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is its end id alone. Repeated rows are packed as often as they
     occur. An empty table gives no pieces. Other columns are ignored. ``sequence_id`` is
