@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import TYPE_CHECKING
 
 from pyspark.errors import AnalysisException, ParseException
@@ -159,7 +160,7 @@ def order_nulls_as_greatest(sql: str) -> str:
     for i, t in enumerate(tokens[:-1]):
         if not (t.is_("ORDER") and tokens[i + 1].is_("BY")):
             continue
-        depth, last = 0, None
+        depth = 0
         key: list[Token] = []
         for u in [*tokens[i + 2 :], None]:
             stop = u is None or (depth == 0 and u.is_("LIMIT", "OFFSET", ",", ";", ")", "ROWS", "RANGE"))
@@ -173,8 +174,6 @@ def order_nulls_as_greatest(sql: str) -> str:
                 continue
             depth += u.is_("(") - u.is_(")")
             key.append(u)
-            last = u
-        del last
     for at, text in sorted(inserts, reverse=True):
         sql = sql[:at] + text + sql[at:]
     return sql
@@ -190,11 +189,6 @@ def case_sensitive(spark):
         spark.conf.set("spark.sql.caseSensitive", before)
 
 
-def _value(text: str):
-    """A literal of INSERT as a column, with an optional sign."""
-    return F.expr(text)
-
-
 def execute(db: Database, sql: str) -> SqlResult:
     """Runs one statement."""
     r = Reader(sql)
@@ -261,18 +255,15 @@ def _insert(db: Database, r: Reader) -> SqlResult:
     r.end()
     if columns is not None and any(len(row) != len(columns) for row in rows):
         raise QueryError("as many values as columns are needed")
-    one = db.spark.range(1)
-    width = max(map(len, rows))
-    flat = one.select(*(_value(v).alias(f"v{i}_{j}") for i, row in enumerate(rows) for j, v in enumerate(row))).first()
+    # Spark reads the literals, with signs and escapes.
+    flat = db.spark.range(1).select(*(F.expr(v).alias(f"v{i}_{j}") for i, row in enumerate(rows) for j, v in enumerate(row))).first()
     values = [[flat[f"v{i}_{j}"] for j in range(len(row))] for i, row in enumerate(rows)]
-    values = [[float(v) if v.__class__.__name__ == "Decimal" else v for v in row] for row in values]
+    values = [[float(v) if isinstance(v, Decimal) else v for v in row] for row in values]
     if columns is not None:
         names = db.schema(name).names
         if missing := [c for c in columns if c not in names]:
             raise ColumnNotFound(missing[0])
         values = [[dict(zip(columns, row, strict=True)).get(n) for n in names] for row in values]
-    elif width == 0:
-        raise ParserError("no values")
     ids = db.insert_batch(name, values)
     return SqlResult(f"{len(ids)} row(s) inserted", affected=len(ids))
 
