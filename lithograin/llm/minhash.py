@@ -201,12 +201,13 @@ def finer_buckets(members: DataFrame, nodes: DataFrame, config: NearDupConfig) -
 
 def blocks_of(members: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
     """Each member once for every pair (p, q) of its bucket's parts that its own part is in.
-    A part has about ``block`` members, and fewer where their sets are large."""
-    rows = members.join(nodes.select("id", "n"), "id")
+    A part has about ``block`` members, and fewer where their sets are large. The rows carry
+    what a block compares, so that nothing is joined to them once they are repeated."""
+    rows = members.join(nodes.select("id", "n", "sig", "bands"), "id")
     sizes = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / config.block), F.ceil(F.sum("n") / config.block_shingles)).cast("int").alias("parts"))
     dealt = rows.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("parts")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return spread.select("bucket", "band", "id", "component", "n", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    return spread.select("bucket", "band", "id", "component", "n", "sig", "bands", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
 
 
 def _likely_in_block(pdf: pd.DataFrame, config: NearDupConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,14 +239,15 @@ def joining_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, config:
     that join what the block hasn't joined yet. ``members``: bucket, band, id, component."""
     kind = nodes.schema["id"].dataType.simpleString()
     blocks = blocks_of(finer_buckets(members, nodes, config), nodes, config)
-    signed = blocks.join(nodes.select("id", "sig", "bands"), "id")
+
+    names = blocks.columns
 
     def involved(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j, _ = _likely_in_block(pdf, config)
-        return pdf.loc[pdf.index[np.union1d(i, j)], ["bucket", "band", "id", "component", "n", "part", "p", "q"]]
+        return pdf.loc[pdf.index[np.union1d(i, j)], names]
 
-    schema = f"bucket long, band int, id {kind}, component {kind}, n long, part int, p int, q int"
-    asked = materialize(signed.groupBy("bucket", "p", "q").applyInPandas(involved, schema), "asked")
+    schema = f"bucket long, band int, id {kind}, component {kind}, n long, sig binary, bands array<int>, part int, p int, q int"
+    asked = materialize(blocks.groupBy("bucket", "p", "q").applyInPandas(involved, schema), "asked")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j, equal = _likely_in_block(pdf, config)
@@ -271,8 +273,7 @@ def joining_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, config:
                 parent[max(x, y)] = min(x, y)
         return pd.DataFrame(links, columns=["u", "v"]).astype(pdf["id"].dtype)
 
-    whole = asked.join(nodes.select("id", "sig", "bands"), "id").join(sets, "id")
-    return whole.groupBy("bucket", "p", "q").applyInPandas(verify, f"u {kind}, v {kind}").distinct()
+    return asked.join(sets, "id").groupBy("bucket", "p", "q").applyInPandas(verify, f"u {kind}, v {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", config: NearDupConfig | None = None) -> DataFrame:
