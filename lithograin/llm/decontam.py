@@ -1,20 +1,23 @@
-"""Benchmark decontamination by spaced-seed hashing, with DataFrame functions only.
+"""Benchmark decontamination by runs of equal tokens, with DataFrame functions only.
 
-A seed mask looks at some positions of a token window and ignores the others, so a
-window with substituted tokens at ignored positions still has the same hash. Test
-and training windows are joined on (mask, hash). Around every hit both texts are
-compared token by token, on the hit's diagonal; enough equal tokens in some window
-that holds the hit make it an overlap.
+Where at most e of a window's tokens are substituted, the others form e + 1 runs at
+most, so the longest has a length that the threshold fixes: 4 tokens where 16 of 20 are
+equal. Test and training runs of that length are joined on their hash; no overlap is
+missed. Around every hit both texts are compared token by token, on the hit's diagonal;
+enough equal tokens in some window that holds the hit make it an overlap.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
 
-#: 1 is a position that is hashed, 0 one that is ignored.
+#: 1 is a position that is compared, 0 one that is ignored. ``first_word`` is the first place where one agrees.
 MASKS = ("1110100111", "1101101011", "1011011101")
 #: Tokens of a verified window, and the share of them that must be equal.
 WINDOW = 20
@@ -29,71 +32,115 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seed_windows(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """Adds pos, mask and seed: one row for each window of column ``h`` and each mask."""
-    span = len(masks[0])
-    at = df.withColumn("pos", F.explode(F.when(F.size("h") >= span, F.sequence(F.lit(0), F.size("h") - span))))
+def needed(size: int, min_share: float) -> int:
+    """Equal tokens that make a window of ``size`` tokens an overlap."""
+    return math.ceil(size * min_share - 1e-9)
+
+
+def run_length(size: int, min_share: float) -> int:
+    """Tokens of the longest run of equal ones that every overlap of ``size`` tokens has."""
+    need = needed(size, min_share)
+    return math.ceil(need / (size - need + 1))
+
 
-    def seed(k: int, mask: str) -> Column:
-        return F.xxhash64(F.lit(k), *(F.col("h")[F.col("pos") + i] for i, bit in enumerate(mask) if bit == "1"))
+def run_hash(length: int) -> Column:
+    """Hash of the ``length`` tokens of column ``h`` from ``pos`` on."""
+    return F.xxhash64(F.lit(length), *(F.get("h", F.col("pos") + i) for i in range(length)))
 
-    return at.withColumn("seed", F.explode(F.array(*(seed(k, m) for k, m in enumerate(masks)))))
 
+def equal_at(k: Column) -> Column:
+    """Whether token ``k`` of the item equals the one on the hit's diagonal. Item tokens are in
+    ``item`` (a slice that begins ``base`` tokens into the item), training tokens in ``h``;
+    the hit is at ``item_pos`` and ``pos``."""
+    return F.coalesce(F.get("item", k - F.col("base")) == F.get("h", k + F.col("pos") - F.col("item_pos")), F.lit(False))
 
-def best_overlap(span: int, window: int) -> Column:
-    """Most equal tokens in any window of ``size`` that holds the hit, on its diagonal.
 
-    Item tokens are in ``item`` (a slice that begins ``base`` tokens into the item),
-    training tokens in ``h``; the hit is at ``item_pos`` and ``pos``."""
-    shift = F.col("pos") - F.col("item_pos")
-    first = F.greatest(F.lit(0), F.col("item_pos") + span - F.col("size"))
-    last = F.least(F.col("item_pos"), F.col("n_item") - F.col("size"))
+def window_starts() -> Column:
+    """Item positions of the windows of ``size`` tokens that hold the hit."""
+    return F.sequence(F.greatest(F.lit(0), F.col("item_pos") + F.col("span") - F.col("size")), F.least(F.col("item_pos"), F.col("n_item") - F.col("size")))
 
-    def equal_from(s: Column) -> Column:
-        pairs = F.sequence(F.lit(0), F.col("size") - 1)
-        return F.aggregate(pairs, F.lit(0), lambda total, k: total + F.when(F.get("item", s + k - F.col("base")) == F.get("h", s + k + shift), 1).otherwise(0))
 
-    return F.array_max(F.transform(F.sequence(first, last), equal_from))
+def equal_from(s: Column) -> Column:
+    return F.aggregate(F.sequence(F.lit(0), F.col("size") - 1), F.lit(0), lambda total, k: total + equal_at(s + k).cast("int"))
 
 
-def test_seeds(benchmark: DataFrame, item: str, text: str, masks: tuple[str, ...], window: int) -> DataFrame:
-    """seed, item id, item_pos, base, item (the tokens near the window), n_item, size."""
+def first_masked(masks: tuple[str, ...]) -> Column:
+    """Item position of the first place in a window with enough equal tokens where a mask agrees, or null."""
     span = len(masks[0])
-    rows = seed_windows(benchmark.select(F.col(item).alias("item_id"), tokens(text_or_empty(text)).alias("h")), masks)
-    base = F.greatest(F.lit(0), F.col("pos") + span - window)
-    return rows.select(
-        "seed",
+
+    def agrees(k: Column) -> Column:
+        found = F.lit(False)
+        for mask in masks:
+            same = F.lit(True)
+            for i, bit in enumerate(mask):
+                same = same & equal_at(k + i) if bit == "1" else same
+            found = found | same
+        return found
+
+    def first_in(s: Column) -> Column:
+        return F.when((F.col("size") >= span) & (equal_from(s) >= F.col("need")), F.array_min(F.filter(F.sequence(s, s + F.greatest(F.lit(0), F.col("size") - span)), agrees)))
+
+    return F.array_min(F.transform(window_starts(), first_in))
+
+
+def test_seeds(benchmark: DataFrame, item: str, text: str, window: int, min_share: float) -> DataFrame:
+    """seed, item id, item_pos, base, item (the tokens near the run), n_item, size, need, span."""
+    rows = benchmark.select(F.col(item).alias("item_id"), tokens(text_or_empty(text)).alias("h")).where(F.size("h") > 0).withColumn("size", F.least(F.lit(window), F.size("h")))
+
+    def by_size(of: Callable[[int, float], int]) -> Column:
+        return F.get(F.array(*(F.lit(of(n, min_share)) for n in range(1, window + 1))), F.col("size") - 1)
+
+    at = rows.withColumns({"need": by_size(needed), "span": by_size(run_length)}).withColumn("pos", F.explode(F.sequence(F.lit(0), F.size("h") - F.col("span"))))
+    base = F.greatest(F.lit(0), F.col("pos") + 1 - window)
+    return at.select(
+        F.coalesce(*(F.when(F.col("span") == n, run_hash(n)) for n in run_lengths(window, min_share))).alias("seed"),
         "item_id",
         F.col("pos").alias("item_pos"),
         base.alias("base"),
         F.slice("h", base + 1, F.lit(2 * window)).alias("item"),
         F.size("h").alias("n_item"),
-        F.least(F.lit(window), F.size("h")).alias("size"),
+        "size",
+        "need",
+        "span",
     )
 
 
+def run_lengths(window: int, min_share: float) -> list[int]:
+    return sorted({run_length(n, min_share) for n in range(1, window + 1)})
+
+
+def train_seeds(docs: DataFrame, lengths: Iterable[int]) -> DataFrame:
+    """Adds pos and seed: a row for each run of one of the lengths in column ``h``."""
+    least = min(lengths)
+    at = docs.withColumn("pos", F.explode(F.when(F.size("h") >= least, F.sequence(F.lit(0), F.size("h") - least))))
+    return at.withColumn("seed", F.explode(F.array(*map(run_hash, lengths))) if len(lengths) > 1 else run_hash(least))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, window: int = WINDOW, min_share: float = MIN_SHARE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """key, item_id, n_places, first_word, matched, compared: a row per document and
     benchmark item that overlap; documents without overlap have none.
 
     ``compared`` is ``window`` tokens, or the whole item where it is shorter; ``matched`` of
-    them are equal, at least ``min_share``. ``n_places``: distinct diagonals. Null or
-    empty texts, and items with fewer words than a mask, overlap with nothing. Repeated
-    rows of a document count once; those of an item are one item if the id is the same.
+    them are equal, at least ``min_share``. Every such overlap is found. ``n_places``: distinct
+    diagonals. ``first_word``: the first place where a mask agrees, or where none does the first
+    run. Null or empty texts overlap with nothing. Repeated rows of a document count once; those
+    of an item are one item if the id is the same.
     """
     if len({len(m) for m in masks}) != 1 or len(masks[0]) > window:
         raise ValueError("masks must have one length, at most the window's")
-    span = len(masks[0])
-    seeds = materialize(test_seeds(benchmark, item, item_text, masks, window), "seeds")
-    train = seed_windows(docs.select(F.col(key).alias("doc_key"), tokens(text_or_empty(text)).alias("h")), masks)
-    # Only the tokens near a window go on, so that a hit costs the same in a text of any length.
-    near = F.greatest(F.lit(0), F.col("pos") + span - window)
+    seeds = materialize(test_seeds(benchmark, item, item_text, window, min_share), "seeds")
+    # Short runs are hashed only where items are so short that they need them.
+    lengths = sorted(r["span"] for r in seeds.select("span").distinct().collect()) or run_lengths(window, min_share)[-1:]
+    train = train_seeds(docs.select(F.col(key).alias("doc_key"), tokens(text_or_empty(text)).alias("h")), lengths)
+    # Only the tokens near a run go on, so that a hit costs the same in a text of any length.
+    near = F.greatest(F.lit(0), F.col("pos") + 1 - window)
     cut = train.select("doc_key", "seed", F.slice("h", near + 1, F.lit(2 * window)).alias("h"), (F.col("pos") - near).alias("pos"), F.col("pos").alias("at"))
     hits = cut.join(F.broadcast(seeds) if seeds.count() <= broadcast_seeds else seeds, "seed")
-    judged = hits.select("doc_key", "item_id", F.col("at").alias("first"), (F.col("at") - F.col("item_pos")).alias("diagonal"), best_overlap(span, window).alias("matched"), F.col("size").alias("compared"))
-    good = judged.where(F.col("matched") >= F.ceil(F.col("compared") * F.lit(min_share) - F.lit(1e-9)))
-    by_diagonal = good.groupBy("doc_key", "item_id", "diagonal").agg(F.min("first").alias("first"), F.max("matched").alias("matched"), F.max("compared").alias("compared"))
-    return by_diagonal.groupBy("doc_key", "item_id").agg(F.count(F.lit(1)).alias("n_places"), F.min("first").cast("long").alias("first_word"), F.max("matched").cast("long").alias("matched"), F.max("compared").cast("long").alias("compared")).withColumnRenamed("doc_key", key)
+    good = hits.withColumn("matched", F.array_max(F.transform(window_starts(), equal_from))).where(F.col("matched") >= F.col("need"))
+    diagonal = F.col("at") - F.col("item_pos")
+    judged = good.select("doc_key", "item_id", "at", diagonal.alias("diagonal"), (first_masked(masks) + diagonal).alias("masked"), "matched", F.col("size").alias("compared"))
+    by_diagonal = judged.groupBy("doc_key", "item_id", "diagonal").agg(F.min("masked").alias("masked"), F.min("at").alias("at"), F.max("matched").alias("matched"), F.max("compared").alias("compared"))
+    return by_diagonal.groupBy("doc_key", "item_id").agg(F.count(F.lit(1)).alias("n_places"), F.coalesce(F.min("masked"), F.min("at")).cast("long").alias("first_word"), F.max("matched").cast("long").alias("matched"), F.max("compared").cast("long").alias("compared")).withColumnRenamed("doc_key", key)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

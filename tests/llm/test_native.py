@@ -104,6 +104,37 @@ def test_decontamination(spark, make, none, clash):
     assert decontam.contamination(df, bench.where("false")).collect() == []
 
 
+def overlaps(doc, item):
+    """(diagonals, most equal tokens) of every overlap, by comparing all windows."""
+    size = min(20, len(item))
+    found = {}
+    for shift in range(-len(item), len(doc)):
+        equal = [0 <= k + shift < len(doc) and doc[k + shift] == w for k, w in enumerate(item)]
+        best = max(sum(equal[s : s + size]) for s in range(len(item) - size + 1))
+        if best >= math.ceil(0.8 * size - 1e-9):
+            found[shift] = best
+    return len(found), max(found.values(), default=0)
+
+
+def test_decontamination_finds_every_overlap(spark, make):
+    rng = random.Random(5)
+    items = [[f"i{n}w{k}" for k in range(n)] for n in (*range(1, 21), 33)]
+    docs = []
+    for item in items:
+        size = min(20, len(item))
+        for extra in (0, 0, 0, 0, 1):  # as many substitutions as the threshold allows, or one more: clean
+            at = rng.randint(0, len(item) - size)
+            copy = item[at : at + size]
+            for k in rng.sample(range(size), min(size, size - math.ceil(0.8 * size - 1e-9) + extra)):
+                copy[k] = "other"
+            docs.append([*words(rng, rng.choice([0, 3, 30])), *copy, *words(rng, rng.choice([0, 3, 30]))])
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    want = {(d, i, *overlaps(doc, item)) for d, doc in enumerate(docs) for i, item in enumerate(items)}
+    for limit in (10**6, 0):
+        found = decontam.contamination(make([" ".join(d) for d in docs]), bench, broadcast_seeds=limit).collect()
+        assert {(r.doc_id, r.item_id, r.n_places, r.matched) for r in found} == {w for w in want if w[2]}
+
+
 def test_native_plans_have_no_python(spark, make):
     docs = make(["a b", "a b", "c"])
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k l m")], "item_id long, text string")
