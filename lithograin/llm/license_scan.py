@@ -5,6 +5,9 @@ A template T matches a block B when ``|B & T| >= t * |T|`` on distinct words. Th
 must hold one of the first ``|T| - ceil(t * |T|) + 1`` words of T in that order (prefix
 filter), have at least ``ceil(t * |T|)`` distinct words (length filter), and enough of T's words must be
 left from the first shared one on (positional filter). The filters lose no match; what passes is counted exactly.
+
+A notice that is wrapped over lines is in no line alone. So the same share is also looked for in windows of
+words that don't stop at line breaks, with the same prefix filter and exact counts.
 """
 
 from __future__ import annotations
@@ -47,6 +50,7 @@ class Template:
     label: str
     tokens: np.ndarray  # distinct word hashes, rarest in the corpus first
     need: int  # words that must be shared
+    span: int  # words of a window across lines: the template's, with room for some others
 
     @property
     def prefix(self) -> np.ndarray:
@@ -98,9 +102,10 @@ def _lookup(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def ordered_templates(frequencies: dict[str, int], templates=TEMPLATES, containment: float = CONTAINMENT) -> list[Template]:
     out = []
-    for label, words in template_words(templates):
+    for (label, words), (_, text) in zip(template_words(templates), templates, strict=True):
         words = sorted(words, key=lambda w: (frequencies.get(w, 0), w))
-        out.append(Template(label, hash_words(words, NON_ALNUM), max(1, math.ceil(containment * len(words) - 1e-9))))
+        span = math.ceil(len(TextBatch(pa.array([text]), NON_ALNUM).starts) / containment)
+        out.append(Template(label, hash_words(words, NON_ALNUM), max(1, math.ceil(containment * len(words) - 1e-9)), span))
     return out
 
 
@@ -121,12 +126,58 @@ def block_matches(words: np.ndarray, templates: list[Template], candidates: list
     return found
 
 
+def wrapped_matches(h: np.ndarray, first: np.ndarray, line_first: np.ndarray, t: Template) -> list[tuple[int, int, int]]:
+    """(first word, words, shared words) of the windows of at most ``span`` words of one text that hold
+    enough of the template's and go over a line break. Windows that begin side by side
+    are one match, the best of them. ``first`` and ``line_first``: first words of texts and lines."""
+    seeds = np.flatnonzero(np.isin(h, t.prefix))
+    if not len(seeds):
+        return []
+    doc = np.searchsorted(first, seeds, side="right") - 1
+    cover = np.zeros(len(h) + 1, dtype=np.int64)  # prefix filter: only words near one of the prefix
+    np.add.at(cover, np.maximum(first[doc], seeds - t.span + 1), 1)
+    np.add.at(cover, np.minimum(first[doc + 1], seeds + t.span), -1)
+    near = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+    order = np.argsort(t.tokens)
+    at = np.minimum(np.searchsorted(t.tokens[order], h[near]), len(order) - 1)
+    own = t.tokens[order][at] == h[near]
+    place, token = near[own], at[own]
+    # A word counts for the windows that begin after the same word's last place, up to itself.
+    by_token = np.lexsort((place, token))
+    again = np.zeros(len(place), dtype=np.int64)
+    same = token[by_token][1:] == token[by_token][:-1]
+    again[by_token[1:]] = np.where(same, place[by_token][:-1] + 1, 0)
+    begin = np.maximum(np.maximum(again, place - t.span + 1), first[np.searchsorted(first, place, side="right") - 1])
+    change = np.zeros(len(h) + 1, dtype=np.int64)
+    np.add.at(change, begin, 1)
+    np.add.at(change, place + 1, -1)
+    shared = np.cumsum(change[:-1])
+    good = np.flatnonzero(shared >= t.need)
+    # Only windows that begin with a word of the template: the others are such a window with words before it.
+    good = good[np.isin(good, place)]
+    last = place[np.searchsorted(place, good + t.span, side="left") - 1]
+    last = np.minimum(last, place[np.searchsorted(place, first[np.searchsorted(first, good, side="right")], side="left") - 1])
+    over = np.searchsorted(line_first, good, side="right") != np.searchsorted(line_first, last, side="right")
+    good, last = good[over], last[over]
+    found: list[tuple[int, int, int]] = []
+    end = -1
+    for g, z in zip(good.tolist(), last.tolist(), strict=True):
+        match = (g, z - g + 1, int(shared[g]))
+        if g > end:
+            found.append(match)
+        elif match[2] > found[-1][2]:
+            found[-1] = match
+        end = max(end, z)
+    return found
+
+
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT) -> DataFrame:
-    """key, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks: a row per input row.
+    """key, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks, wrapped, all_labels: a row per input row.
 
     A block is a line of the text. ``score`` is the best containment of a matched template,
     1 where a phrase stands, else 0. ``blocks`` lists (label, first word, words, containment)
-    of every matched block and template. A null or empty text has no words, empty labels, null places
+    of every matched block and template. ``wrapped`` lists the same of matches that go over line
+    breaks; ``all_labels`` are ``labels`` and theirs. A null or empty text has no words, empty labels, null places
     and score 0. Repeated rows are judged alike; other columns are ignored. Two passes
     over the texts; only counts of template words are shuffled.
     """
@@ -139,8 +190,9 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
     prefix_table = np.sort(np.array(list(prefix_of), dtype=np.uint64))
     phrase_hashes = [(hash_words(p.split(), NON_ALNUM), label) for p, label in phrases]
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label:string,first_word:long,n_words:long,containment:double>>"
-    names = [key, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
+    found = "array<struct<label:string,first_word:long,n_words:long,containment:double>>"
+    schema = f"{key} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks {found}, wrapped {found}, all_labels string"
+    names = [key, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks", "wrapped", "all_labels"]
     block_type = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64())]))
 
     def part(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
@@ -178,9 +230,16 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
                 labels[d].add(ordered[k].label)
                 score[d] = max(score[d], share)
                 blocks[d].append({"label": ordered[k].label, "first_word": int(line_first[b] - first[d]), "n_words": int(line_first[b + 1] - line_first[b]), "containment": share})
+        wrapped: list[list[dict]] = [[] for _ in range(n)]
+        every = [set(x) for x in labels]
+        for k in sorted({k for w in np.unique(h[at]) for k in prefix_of[int(w)]}):
+            for begin, size, shared in wrapped_matches(h, first, line_first, ordered[k]):
+                d = int(np.searchsorted(first, begin, side="right") - 1)
+                every[d].add(ordered[k].label)
+                wrapped[d].append({"label": ordered[k].label, "first_word": int(begin - first[d]), "n_words": size, "containment": shared / len(ordered[k].tokens)})
         none = n_base == 0
         return pa.RecordBatch.from_arrays(
-            [keys, pa.array(batch.counts.astype(np.int64)), pa.array(n_base), pa.array(low, mask=none), pa.array(high, mask=none), pa.array(base), pa.array([",".join(sorted(x)) for x in labels], pa.string()), pa.array(score), pa.array(blocks, block_type)],
+            [keys, pa.array(batch.counts.astype(np.int64)), pa.array(n_base), pa.array(low, mask=none), pa.array(high, mask=none), pa.array(base), pa.array([",".join(sorted(x)) for x in labels], pa.string()), pa.array(score), pa.array(blocks, block_type), pa.array(wrapped, block_type), pa.array([",".join(sorted(x)) for x in every], pa.string())],
             names=names,
         )
 

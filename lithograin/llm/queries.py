@@ -56,7 +56,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
-    return found.withColumn("n_blocks", F.size("blocks").cast("long")).drop("blocks")
+    return found.withColumn("n_blocks", F.size("blocks").cast("long")).drop("blocks", "wrapped", "all_labels")  # what the SQL has: lines only
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Words and hashes of batches, URL filter, license scan, line dedup, packing: brute force and odd input."""
 
+import math
 import random
 import re
 import zlib
@@ -107,6 +108,46 @@ def test_license_scan_against_brute_force(make, none, clash):
     assert license_scan.scan_licenses(none).collect() == []
 
 
+def brute_wrapped(text):
+    """Labels of templates that some window of words over a line break holds enough of."""
+    words, lines = [], []
+    for i, line in enumerate((text or "").translate(LOWER).split("\n")):
+        found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line)
+        words += found
+        lines += [i] * len(found)
+    labels = set()
+    for (label, distinct), (_, notice) in zip(license_scan.template_words(), license_scan.TEMPLATES, strict=True):
+        span = math.ceil(len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", notice.translate(LOWER))) / 0.8)
+        for i in range(len(words)):
+            at = [k for k in range(i, min(len(words), i + span)) if words[k] in distinct]
+            if at and at[0] == i and lines[at[-1]] != lines[i] and len({words[k] for k in at}) >= 0.8 * len(distinct) - 1e-9:
+                labels.add(label)
+    return labels
+
+
+def test_license_scan_of_wrapped_notices(make):
+    rng = random.Random(7)
+    texts, whole = list(ODD), {}
+    for label, notice in license_scan.TEMPLATES:
+        words = notice.split()
+        for width in (3, 6, 11):
+            if width < len(words):
+                whole[len(texts)] = label
+                texts.append("Some text before it.\n * " + "\n * ".join(" ".join(words[i : i + width]) for i in range(0, len(words), width)) + "\nand after")
+    for _ in range(60):
+        words = [w for _ in range(3) for w in rng.choice(license_scan.TEMPLATES)[1].split()]
+        for _ in range(rng.randint(0, 8)):
+            words[rng.randrange(len(words))] = rng.choice(["x", "the", "license"])
+        texts.append("".join(w + ("\n" if rng.random() < 0.15 else " ") for w in words))
+    rows = {r.doc_id: r for r in license_scan.scan_licenses(make(texts)).collect()}
+    assert len(rows) == len(texts)
+    for i, r in rows.items():
+        assert {b.label for b in r.wrapped} == brute_wrapped(texts[i]), texts[i][:200]
+        assert set(r.all_labels.split(",")) - {""} == brute_wrapped(texts[i]) | (set(r.labels.split(",")) - {""})
+        assert all(0 <= b.first_word and b.first_word + b.n_words <= r.n_words and b.containment >= 0.8 - 1e-9 for b in r.wrapped)
+    assert len(whole) > 20 and all(label in rows[i].all_labels.split(",") for i, label in whole.items())
+
+
 def test_line_dedup_against_brute_force(make, none, clash):
     rng = random.Random(4)
     common = [f"boilerplate line {i}" for i in range(6)]
