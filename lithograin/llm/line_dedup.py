@@ -4,6 +4,9 @@ A HyperLogLog sketch per line hash is kept as rows (line, register, rank): a ske
 merges by an ordinary ``max`` aggregation, partly before the shuffle, and a line
 that stands everywhere is spread over its registers. Lines whose estimate is near
 the threshold get an exact distinct count; the others are settled by the sketch.
+
+Long lines don't repeat by chance: they are boilerplate from two documents on, of
+whatever site. For that, the smallest and the largest key of a line are enough.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from .common import materialize, text_or_empty
 
 #: A line on this many sites is boilerplate.
 MIN_SITES = 8
+#: A line of more words than this is boilerplate in two documents.
+LONG_WORDS = 50
 #: Registers of a sketch are 2**PRECISION; the standard error is 1.04 / sqrt of that.
 PRECISION = 8
 #: Names of columns that stand beside the caller's for a while.
@@ -70,15 +75,31 @@ def boilerplate_lines(docs: DataFrame, key: str, text: str, site: str, min_sites
     return settled.unionByName(spread.join(exact, "line", "left_semi").select("line", "keeper"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, precision: int = PRECISION) -> DataFrame:
+def repeated_long_lines(docs: DataFrame, key: str, text: str, long_words: int) -> DataFrame:
+    """line, keeper: the hash of every line of more than ``long_words`` words in two documents or more."""
+
+    def is_long(line: Column) -> Column:
+        return (F.length(line) > 2 * long_words) & (F.size(F.array_remove(F.split(line, r"\s+"), "")) > long_words)
+
+    hashes = F.array_distinct(F.transform(F.filter(lines_of(text_or_empty(text)), is_long), line_hash))
+    rows = docs.select(F.col(key).alias("key"), F.explode(hashes).alias("line"))
+    spread = rows.groupBy("line").agg(F.min("key").alias("keeper"), F.max("key").alias("last"), F.max(F.col("key").isNull()).alias("keyless"))
+    return spread.where((F.col("keeper") != F.col("last")) | (F.col("keyless") & F.col("keeper").isNotNull())).select("line", "keeper")
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, precision: int = PRECISION, long_words: int | None = LONG_WORDS) -> DataFrame:
     """All input columns with ``text`` cleaned, plus n_lines and n_removed, a row per input row.
 
-    A line (without white space at its ends) on ``min_sites`` sites or more is removed
+    A line (without white space at its ends) on ``min_sites`` sites or more, or one of more than
+    ``long_words`` words (None: no such rule) in two documents or more, is removed
     from every document but the one with the smallest key that has it. A null site is a
     site of its own; a null text becomes empty; empty lines stay. Rows that repeat a key are cleaned alike.
     Columns named n_lines or n_removed are replaced.
     """
-    found = materialize(boilerplate_lines(docs, key, text, site, min_sites, precision), "boilerplate")
+    bad = boilerplate_lines(docs, key, text, site, min_sites, precision)
+    if long_words is not None:
+        bad = bad.unionByName(repeated_long_lines(docs, key, text, long_words)).dropDuplicates(["line"])
+    found = materialize(bad, "boilerplate")
     body = text_or_empty(text)
     pairs = docs.select(F.col(key), F.explode(F.array_distinct(F.transform(lines_of(body), line_hash))).alias("line"))
     drops = pairs.join(found, "line").where(~F.col("keeper").eqNullSafe(F.col(key))).groupBy(F.col(key).alias(OWNER)).agg(F.collect_set("line").alias(DROPPED))

@@ -19,7 +19,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), long_words=None)  # as the SQL: 8 sites at any length
     return cleaned.select("doc_id", "n_lines", "n_removed", "text")
 
 

@@ -177,6 +177,16 @@ def test_line_dedup_against_brute_force(make, none, clash):
     assert line_dedup.dedup_lines(none).collect() == []
 
 
+def test_long_lines_go_from_two_documents_on(make, clash):
+    long, other, short = (" ".join(f"{p}{i}" for i in range(n)) for p, n in (("w", 51), ("v", 60), ("u", 50)))
+    rows = [(1, f"{long}\nown 1", "hot"), (2, f"own 2\n  {long} ", "hot"), (3, f"{long}\n{short}", "b"), (4, f"{other}\n{other}", "b"), (5, f"{short}\nown 5", "hot"), (None, f"{other}\nx", "c")]
+    rows += [(6, "y", "hot"), (6, "y", "hot")]
+    out = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(clash(make(rows))).collect()}
+    assert out == {1: (f"{long}\nown 1", 0), 2: ("own 2", 1), 3: (short, 1), 4: (f"{other}\n{other}", 0), 5: (f"{short}\nown 5", 0), None: ("x", 1), 6: ("y", 0)}
+    kept = line_dedup.dedup_lines(make(rows), long_words=None).collect()
+    assert all(r.n_removed == 0 for r in kept)
+
+
 def test_site_sketch_estimates(spark):
     from pyspark.sql import functions as F
 
