@@ -17,6 +17,7 @@ from .operators.joins import JoinChain
 from .operators.scan import ordered, scan, semi, top_k
 from .operators.statistics import column_statistics
 from .plans.builder import QueryBuilder
+from .sources.storage import ROW_ID
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -330,11 +331,9 @@ def sql_create_insert_select(spark, sf_dir):
 @register("get_by_ids", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (3, 5)")
 def get_by_ids(spark, sf_dir):
     db = Database.temporary(spark)
-    rows = [tuple(r) for r in read(spark, sf_dir, "supplier").where("s_suppkey <= 10").orderBy("s_suppkey").collect()]
-    ids = db.insert_batch("t", rows)
-    db.set_schema("t", read(spark, sf_dir, "supplier").schema)
-    wanted = [i for i, r in zip(ids, rows, strict=True) if r[0] in (3, 5)]
-    return db.get_by_ids("t", [*wanted, 10**9], projection=["s_suppkey", "s_name"])
+    db.insert_dataframe("t", read(spark, sf_dir, "supplier"))
+    wanted = [r[ROW_ID] for r in db.table("t", with_row_id=True).where(F.col("s_suppkey").isin(3, 5)).select(ROW_ID).collect()]
+    return db.get_by_ids("t", [*wanted, -1], projection=["s_suppkey", "s_name"])
 
 
 def on_database(name: str, table: str, sql: str, plan: Callable[[Database], DataFrame]) -> None:
