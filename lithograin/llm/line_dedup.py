@@ -24,6 +24,8 @@ MIN_SITES = 8
 LONG_WORDS = 50
 #: Registers of a sketch are 2**PRECISION; the standard error is 1.04 / sqrt of that.
 PRECISION = 8
+#: A line on the threshold is lost by the sketch with this chance at most.
+COLLIDE = 1e-12
 #: Names of columns that stand beside the caller's for a while.
 OWNER, DROPPED, LEFT = "__lithograin_owner", "__lithograin_dropped", "__lithograin_left"
 
@@ -59,9 +61,31 @@ def site_spread(occurrences: DataFrame, min_sites: int, precision: int = PRECISI
 
 
 def near_band(min_sites: int, precision: int = PRECISION) -> tuple[float, float]:
-    """Estimates in this band leave open on which side of the threshold a line is."""
+    """Estimates in this band leave open on which side of the threshold a line is. Below it is
+    what ``min_sites`` sites give only if they collide in their registers with a chance under ``COLLIDE``."""
     off = 5 * max(1.04 / math.sqrt(1 << precision), 1 / min_sites**0.5 / 8)
-    return min_sites * (1 - min(off, 0.75)), min_sites * (1 + off)
+    low, high = min_sites * (1 - min(off, 0.75)), min_sites * (1 + off)
+    m = 1 << precision
+    if min_sites <= m:  # sites that fill at most half of the registers or so: the estimate follows their number
+        filled = max(1, least_filled(min_sites, m))
+        low = min(low, m * math.log(m / (m - filled)) - 0.5) if filled < m else low
+    return low, high
+
+
+def least_filled(sites: int, m: int) -> int:
+    """The least number of ``m`` registers that ``sites`` sites fill with a chance over ``COLLIDE``, counting all below."""
+    chance = [1.0]
+    for _ in range(sites):
+        stay = [c * k / m for k, c in enumerate(chance)] + [0.0]
+        for k, c in enumerate(chance):
+            stay[k + 1] += c * (m - k) / m
+        chance = stay
+    below = 0.0
+    for k, c in enumerate(chance):
+        below += c
+        if below > COLLIDE:
+            return k
+    return sites
 
 
 def boilerplate_lines(docs: DataFrame, key: str, text: str, site: str, min_sites: int, precision: int = PRECISION) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -187,6 +188,19 @@ def test_long_lines_go_from_two_documents_on(make, clash):
     assert all(r.n_removed == 0 for r in kept)
 
 
+def test_sites_that_share_registers_still_count(make):
+    def register(site):
+        return xxhash.xxh64_intdigest(site.encode(), xxhash.xxh64_intdigest(b"site", 42)) % 256
+
+    for filled in (3, 5):  # the estimate is about this number
+        sites = [s for s in (f"site{i}" for i in range(3000)) if register(s) < filled][:8]
+        assert len({register(s) for s in sites}) <= filled and len(sites) == 8
+        out = line_dedup.dedup_lines(make([(i, f"common line\nown {i}", s) for i, s in enumerate(sites)])).collect()
+        assert sorted(r.n_removed for r in out) == [0] + [1] * 7
+    low, high = line_dedup.near_band(8)
+    assert 2 < low < 3 and high > 8
+
+
 def test_site_sketch_estimates(spark):
     from pyspark.sql import functions as F
 
