@@ -8,8 +8,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-_written: list[tuple[SparkSession, str]] = []
+#: Folders that are still there, and the folder that a frame reads.
+_written: dict[str, SparkSession] = {}
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,34 +35,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where it is unset."""
+    """The folder that driver and executors share. Where it is unset, a local session gets a
+    temporary one; on a cluster that is an error, because no machine's own folder is shared."""
     found = spark.conf.get(CHECKPOINT_KEY, None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all machines of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="lithograin-checkpoint-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
-        context = spark.sparkContext
-        if context._jsc is None:
-            continue
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None:
         where = context._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_written() -> None:
+    for path, spark in _written.items():
+        _delete(spark, path)
     _written.clear()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a lost executor
-    costs a re-read and not a re-computation. Removed when the driver ends."""
+    costs a re-read and not a re-computation. Removed by ``release``, or when the driver ends."""
     spark = df.sparkSession
     if not _written:
         atexit.register(_remove_written)
     path = f"{shared_dir(spark).rstrip('/')}/lithograin-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _path_of[found] = path
+    return found
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote for these frames, when nothing that is still to run reads it."""
+    for df in frames:
+        path = _path_of.pop(df, None)
+        if path is not None and (spark := _written.pop(path, None)) is not None:
+            _delete(spark, path)
+
+
+#: Ids that are broadcast at most (16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1 << 21
+
+
+def few(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """The same rows, to be broadcast if they are counted and few."""
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
 def text_or_empty(text: str | Column = "text") -> Column:

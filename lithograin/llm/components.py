@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     edges = materialize(links.select("u", "v").where("u <> v").distinct(), "links")
     before = None
     for _ in range(max_rounds):
-        edges = materialize(small_star(large_star(edges)), "stars")
+        last, edges = edges, materialize(small_star(large_star(edges)), "stars")
+        release(last)
         if (now := _digest(edges)) == before:
             found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

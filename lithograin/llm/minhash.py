@@ -1,19 +1,19 @@
 """Near-duplicate detection: MinHash, banding, verification, connected components.
 
 1. One pass makes each document's signature: the minima of 128 universal hash
-   functions over its distinct word shingles. Documents with equal sets share one
-   representative from here on.
+   functions over its distinct word shingles, 16 bits of each. Documents with equal sets
+   share one representative from here on.
 2. Representatives that agree in all rows of a band share a bucket. In every bucket
    each is paired with the bucket's smallest one; no other pair is made there.
 3. Pairs that pass a length filter and a signature filter are verified on full sets.
    Verified links give components.
-4. Only where a bucket still holds several components are its other pairs compared, block
-   by block, across components, and only in the first band that a pair shares. A block
-   verifies them on full sets and returns the links that join components, never its pairs.
+4. Only where a bucket still holds several components are its other pairs compared, across
+   components. Large buckets first get further leaders, as long as that joins much; then
+   blocks compare the rest, each pair in the first band that it shares. A block verifies pairs
+   on full sets and returns the links that join components, never its pairs.
 
-With 32 bands of 4 rows a link at similarity 0.75 is missed with a chance under 6e-6. A
-bucket of more than ``split_above`` members is compared only where its members share a second
-band: there the chance is up to 8.3e-5, because 7.7e-5 is that of exactly one shared band.
+Sets hold 64-bit hashes of shingles. With 32 bands of 4 rows a link at similarity 0.75 is
+missed with a chance under 6e-6, in buckets of any size.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextBatch, materialize, mix64, text_or_empty, text_pieces
+from .common import BROADCAST_IDS, TextBatch, few, materialize, mix64, release, text_or_empty, text_pieces
 from .components import connected_components
 
 
@@ -44,8 +44,8 @@ class NearDupConfig:
     #: Members of a block of a bucket, and shingles in their sets; they bound a task's memory.
     block: int = 512
     block_shingles: int = 1 << 20
-    #: Buckets above this size are first split by a second band.
-    split_above: int = 4096
+    #: Documents whose ids are broadcast to find their texts (16 bytes each); more take a shuffle.
+    broadcast_ids: int = BROADCAST_IDS
 
     @property
     def n_hashes(self) -> int:
@@ -53,7 +53,7 @@ class NearDupConfig:
 
     @property
     def least_equal(self) -> int:
-        """Equal signature bytes that a linked pair has but for a chance of about 1e-8."""
+        """Equal minima that a linked pair has but for a chance of about 1e-8."""
         j = self.percent / 100
         return int(self.n_hashes * j - self.slack * (self.n_hashes * j * (1 - j)) ** 0.5)
 
@@ -105,36 +105,27 @@ def signatures(sets: np.ndarray, sizes: np.ndarray, config: NearDupConfig) -> np
 
 
 def sketches(docs: DataFrame, key: str, text: str, config: NearDupConfig) -> DataFrame:
-    """key, n_shingles, set_hi, set_lo (a hash of the set), bands (bucket of each), sig (a byte of each minimum)."""
+    """key, n_shingles, set_hi, set_lo (a hash of the set), sig (two bytes of each minimum)."""
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, n_shingles long, set_hi long, set_lo long, bands array<int>, sig binary"
-    names = [key, "n_shingles", "set_hi", "set_lo", "bands", "sig"]
+    names = [key, "n_shingles", "set_hi", "set_lo", "sig"]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in text_pieces(batch, 1, max_bytes=1 << 19):
                 sets, sizes = shingle_sets(TextBatch(piece.column(1)), config.words)
-                sig = signatures(sets, sizes, config)
+                low = (signatures(sets, sizes, config) & np.uint32(0xFFFF)).astype("<u2")
                 with np.errstate(over="ignore"):
                     ends = np.cumsum(sizes)
                     sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (mix64(sets), mix64(sets ^ np.uint64(0xA5A5A5A55A5A5A5A)))]
                     hi, lo = (s[ends] - s[ends - sizes] for s in sums)
-                    bands = np.zeros((len(sizes), config.bands), dtype=np.uint64)
-                    for r in range(config.rows):
-                        bands = mix64(bands * np.uint64(0x9E3779B97F4A7C15) + sig[:, r :: config.rows].astype(np.uint64) + np.uint64(r + 1))
-                offsets = np.arange(0, bands.size + 1, config.bands, dtype=np.int32)
-                buckets = (bands >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel()
-                low = (sig & np.uint32(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(sizes), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(buckets)), pa.array([r.tobytes() for r in low], pa.binary())],
-                    names=names,
-                )
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sizes), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array([r.tobytes() for r in low], pa.binary())], names=names)
 
-    return docs.select(F.col(key), text_or_empty(text).alias(text)).mapInArrow(sketch, schema)
+    return docs.select(F.col(key), text_or_empty(text).alias(text)).mapInArrow(sketch, f"{key} {kind}, n_shingles long, set_hi long, set_lo long, sig binary")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, config: NearDupConfig) -> DataFrame:
-    """id, shingles: the whole sets of the documents named in ``ids``."""
+    """id, shingles: the whole sets of the documents named in ``ids`` (distinct). Texts aren't
+    shuffled while the ids are few enough to be broadcast."""
     kind = docs.schema[key].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,111 +136,139 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, config: Near
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))], names=["id", "shingles"])
 
     own = docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text"))
-    return own.join(ids, "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles array<long>")
+    return own.join(few(ids, config.broadcast_ids), "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles array<long>")
 
 
 def verified_links(sets: DataFrame, pairs: DataFrame, config: NearDupConfig) -> DataFrame:
-    """u, v of the pairs whose full sets pass the threshold."""
+    """u, v of the distinct pairs whose full sets pass the threshold. (A group by u and v would
+    keep a hot v from being split.)"""
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
     both = pairs.join(left, "u").join(right, "v")
     common = both.select("u", "v", F.size(F.array_intersect("a", "b")).cast("long").alias("i"), (F.size("a") + F.size("b")).cast("long").alias("total"))
-    return common.where(F.col("i") * 100 >= (F.col("total") - F.col("i")) * config.percent).select("u", "v").distinct()
+    return common.where(F.col("i") * 100 >= (F.col("total") - F.col("i")) * config.percent).select("u", "v")
 
 
 def likely_pairs(pairs: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
-    """The pairs (u, v) that pass the length and the signature filter."""
+    """The distinct pairs (u, v) that pass the length and the signature filter."""
     sides = pairs.join(nodes.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su")), "u").join(nodes.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv")), "v")
     sides = sides.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * config.percent)
     width, least = config.n_hashes, config.least_equal
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, width) for k in (2, 3))
-            chosen = (a == b).sum(axis=1) >= least
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(chosen))
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                a, b = (np.frombuffer(b"".join(part.column(k).to_pylist()), "<u2").reshape(-1, width) for k in (2, 3))
+                chosen = (a == b).sum(axis=1) >= least
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"]).filter(pa.array(chosen))
 
     kind = nodes.schema["id"].dataType.simpleString()
-    return sides.select("u", "v", "su", "sv").mapInArrow(keep, f"u {kind}, v {kind}").distinct()
+    return sides.select("u", "v", "su", "sv").mapInArrow(keep, f"u {kind}, v {kind}")
 
 
-def bucket_rows(nodes: DataFrame) -> DataFrame:
+def leader_links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, key: str, text: str, config: NearDupConfig) -> DataFrame:
+    """u, v: the verified ones of distinct pairs; only documents of likely pairs have their sets made."""
+    likely = materialize(likely_pairs(pairs, nodes, config), "likely")
+    sets = materialize(full_sets(docs, likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).distinct(), key, text, config), "sets")
+    found = materialize(verified_links(sets, likely, config), "verified")
+    release(likely, sets)
+    return found
+
+
+def bucket_rows(nodes: DataFrame, config: NearDupConfig) -> DataFrame:
     """bucket, band, id: one row for each band of each node."""
-    banded = nodes.select("id", F.posexplode("bands").alias("band", "value"))
+    width = 2 * config.rows
+    values = F.array(*(F.substring("sig", width * k + 1, width) for k in range(config.bands)))
+    banded = nodes.select("id", F.posexplode(values).alias("band", "value"))
     return banded.select(F.xxhash64("band", "value").alias("bucket"), "band", "id")
 
 
-def finer_buckets(members: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
-    """Splits large buckets by every other band. A linked pair that shares no other band (7.7e-5
-    at similarity 0.75) is in no part; it is missed unless other links join the two. Buckets that no band splits stay as they are."""
-    rows = members
-    for _ in range(3):
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-        large = materialize(sizes.where(F.col("size") > config.split_above), "large")
-        if large.isEmpty():
-            break
-        again = rows.join(large, "bucket").join(nodes.select("id", "bands"), "id").select("bucket", "size", "band", "id", "component", F.posexplode("bands").alias("other", "value"))
-        finer = again.where("other <> band").select("bucket", "size", F.xxhash64("bucket", "other", "value").alias("finer"), "band", "id", "component")
-        parts = finer.groupBy("bucket", "size", "finer").agg(F.count(F.lit(1)).alias("now"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        # A part as large as its bucket holds all of its pairs, so that bucket needs no other part.
-        whole = parts.where("now = size").groupBy("bucket").agg(F.min("finer").alias("finer"))
-        whole = materialize(whole, "whole")
-        smaller = finer.join(parts.where("lo <> hi").select("finer"), "finer", "left_semi").join(whole.select("bucket"), "bucket", "left_anti")
-        unsplit = rows.join(whole.select("bucket"), "bucket", "left_semi")
-        rest = rows.join(large.select("bucket"), "bucket", "left_anti")
-        rows = materialize(rest.unionByName(unsplit).unionByName(smaller.select(F.col("finer").alias("bucket"), "band", "id", "component")), "finer")
-    return rows
+def open_members(members: DataFrame, component: DataFrame) -> DataFrame:
+    """bucket, band, id, component, top (the component with most members in the bucket), n_out (members
+    outside it): the members of buckets that hold several components."""
+    labelled = members.join(component.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
+    counts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    tops = counts.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("component")).alias("neg"))).alias("most"), F.sum("n").alias("size")).select("bucket", (-F.col("most.neg")).alias("top"), (F.col("size") - F.col("most.n")).alias("n_out")).where("n_out > 0")
+    # Written first: joined in the same stage that groups by bucket, a hot bucket couldn't be split.
+    return labelled.join(materialize(tops, "tops"), "bucket")
+
+
+def next_leaders(members: DataFrame, config: NearDupConfig) -> DataFrame:
+    """u, v: in buckets with more than a block outside their largest component, the smallest member out there
+    with all members of other components."""
+    large = members.where(F.col("n_out") > config.block)
+    lead = large.where("component <> top").groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("lead")).select("bucket", F.col("lead.id").alias("leader"), F.col("lead.component").alias("own"))
+    met = large.join(lead, "bucket").where("component <> own")
+    return met.select(F.greatest("id", "leader").alias("u"), F.least("id", "leader").alias("v")).distinct()
 
 
 def blocks_of(members: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
-    """Each member once for every pair (p, q) of its bucket's parts that its own part is in.
-    A part has about ``block`` members, and fewer where their sets are large. The rows carry
+    """Each member once for every block (p, q) that its part is in. A bucket's members outside its largest
+    component make parts of their own, which meet all parts; the parts inside it meet only those. A part has
+    about ``block`` members, and fewer where their sets are large. The rows carry
     what a block compares, so that nothing is joined to them once they are repeated."""
-    rows = members.join(nodes.select("id", "n", "sig", "bands"), "id")
-    sizes = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / config.block), F.ceil(F.sum("n") / config.block_shingles)).cast("int").alias("parts"))
-    dealt = rows.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("parts")).cast("int"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return spread.select("bucket", "band", "id", "component", "n", "sig", "bands", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    rows = members.join(nodes.select("id", "n", "sig"), "id").withColumn("out", F.col("component") != F.col("top"))
+
+    def parts(side: str) -> list:
+        own = F.when(F.col("out") == F.lit(side == "outer"), F.col("n"))
+        return [F.greatest(F.ceil(F.count(own) / config.block), F.ceil(F.sum(own) / config.block_shingles), F.lit(1)).cast("int").alias(side)]
+
+    sizes = rows.groupBy("bucket").agg(*parts("outer"), *parts("inner"))
+    drawn = F.xxhash64(F.lit("block"), "id")
+    dealt = rows.join(sizes, "bucket").withColumn("part", F.when(F.col("out"), F.pmod(drawn, F.col("outer"))).otherwise(F.col("outer") + F.pmod(drawn, F.col("inner"))).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("out"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)))
+    return spread.select("bucket", "band", "id", "component", "n", "sig", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
 
 
 def _likely_in_block(pdf: pd.DataFrame, config: NearDupConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers i, j and equal signature bytes of the block's pairs that pass all filters,
+    """Row numbers i, j and equal minima of the block's pairs that pass all filters,
     lie in different components and share no band before the block's own."""
     p, q, band = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0]), int(pdf["band"].iloc[0])
     part, component, n, ids = (pdf[c].to_numpy() for c in ("part", "component", "n", "id"))
-    sig = np.stack([np.frombuffer(x, np.uint8) for x in pdf["sig"]])
-    bands = np.stack([np.asarray(x, np.int32)[:band] for x in pdf["bands"]])
+    sig = np.stack([np.frombuffer(x, "<u2") for x in pdf["sig"]])
     left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in left:
         may = right[(component[right] != component[i]) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * config.percent)]
         may = may[ids[may] > ids[i]] if p == q else may
         if len(may):
-            equal = (sig[may] == sig[i]).sum(axis=1)
-            keep = equal >= config.least_equal
-            keep &= ~(bands[may] == bands[i]).any(axis=1)
-            if keep.any():
-                found.append((np.full(int(keep.sum()), i), may[keep], equal[keep]))
+            same = sig[may] == sig[i]
+            equal = np.count_nonzero(same, axis=1)
+            keep = np.flatnonzero(equal >= config.least_equal)
+            if band and len(keep):
+                before = same[keep, : band * config.rows].reshape(len(keep), band, config.rows)
+                keep = keep[~before.all(axis=2).any(axis=1)]
+            if len(keep):
+                found.append((np.full(len(keep), i), may[keep], equal[keep]))
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def joining_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, config: NearDupConfig) -> DataFrame:
+#: What deals blocks to tasks. Without it the join by bucket would leave all blocks of a bucket in one task.
+BLOCK_KEY = ("bucket", "p", "q")
+MOST_TASKS = 1 << 14
+
+
+def joining_links(docs: DataFrame, members: DataFrame, nodes: DataFrame, key: str, text: str, config: NearDupConfig) -> DataFrame:
     """u, v: verified links between components that share a bucket; in each block only those
-    that join what the block hasn't joined yet. ``members``: bucket, band, id, component."""
+    that join what the block hasn't joined yet. ``members``: what ``open_members`` gives."""
     kind = nodes.schema["id"].dataType.simpleString()
-    blocks = blocks_of(finer_buckets(members, nodes, config), nodes, config)
-
-    names = blocks.columns
+    blocks = blocks_of(members, nodes, config)
+    # About a block a task: its rows are few bytes and much work, so bytes don't tell how many tasks are needed.
+    tasks = min(MOST_TASKS, blocks.count() // config.block + 1)
+    blocks = blocks.repartition(tasks, *BLOCK_KEY)
+    names = ["bucket", "band", "id", "component", "part", "p", "q"]
 
     def involved(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j, _ = _likely_in_block(pdf, config)
         return pdf.loc[pdf.index[np.union1d(i, j)], names]
 
-    schema = f"bucket long, band int, id {kind}, component {kind}, n long, sig binary, bands array<int>, part int, p int, q int"
-    asked = materialize(blocks.groupBy("bucket", "p", "q").applyInPandas(involved, schema), "asked")
+    schema = f"bucket long, band int, id {kind}, component {kind}, part int, p int, q int"
+    asked = materialize(blocks.groupBy(*BLOCK_KEY).applyInPandas(involved, schema), "asked")
+    sets = materialize(full_sets(docs, asked.select("id").distinct(), key, text, config), "block-sets")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j, equal = _likely_in_block(pdf, config)
@@ -275,7 +294,10 @@ def joining_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, config:
                 parent[max(x, y)] = min(x, y)
         return pd.DataFrame(links, columns=["u", "v"]).astype(pdf["id"].dtype)
 
-    return asked.join(sets, "id").groupBy("bucket", "p", "q").applyInPandas(verify, f"u {kind}, v {kind}").distinct()
+    whole = asked.join(nodes.select("id", "n", "sig"), "id").join(sets, "id").repartition(tasks, *BLOCK_KEY)
+    found = materialize(whole.groupBy(*BLOCK_KEY).applyInPandas(verify, f"u {kind}, v {kind}"), "joining")
+    release(asked, sets)
+    return found
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", config: NearDupConfig | None = None) -> DataFrame:
@@ -289,28 +311,49 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", co
     """
     config = config or NearDupConfig()
     sketch = materialize(sketches(docs, key, text, config), "sketches")
-    best = F.min(F.struct(F.col(key).alias("id"), F.col("n_shingles").alias("n"), "bands", "sig")).alias("best")
+    best = F.min(F.struct(F.col(key).alias("id"), F.col("n_shingles").alias("n"), "sig")).alias("best")
     nodes = materialize(sketch.where((F.col("n_shingles") > 0) & F.col(key).isNotNull()).groupBy("set_hi", "set_lo").agg(best).select("set_hi", "set_lo", "best.*"), "nodes")
-    rows = bucket_rows(nodes)
+    rows = bucket_rows(nodes, config)
     leaders = materialize(rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"), "leaders")
-    members = rows.join(leaders, "bucket")
-    sets = materialize(full_sets(docs, members.select("id").distinct(), key, text, config), "sets")
-    pairs = members.where("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
-    first = materialize(verified_links(sets, materialize(likely_pairs(pairs, nodes, config), "pairs"), config), "first")
-    component = connected_components(first)
-    labelled = members.where("size > 2").join(component.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_rows = materialize(labelled.join(mixed, "bucket", "left_semi"), "open")
-    more = materialize(joining_links(open_rows, nodes, sets, config), "more")
+    members = materialize(rows.join(leaders, "bucket").where("id <> leader"), "members")
+    ids = materialize(members.select("id").unionByName(leaders.select(F.col("leader").alias("id"))).distinct(), "ids")
+    near = materialize(nodes.select("id", "n", "sig").join(few(ids, config.broadcast_ids), "id", "left_semi"), "near")  # all others share no bucket
+    pairs = members.select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
+    links = leader_links(docs, pairs, near, key, text, config)
+    component = connected_components(links)
+    # A bucket's leader has met all of its members by now; two others at least make an open pair.
+    others = members.where("size > 2").select("bucket", "band", "id")
+    met = materialize(open_members(others, component), "open")
+    outside = _outside(met, config)
+    while outside:
+        more = leader_links(docs, next_leaders(met, config), near, key, text, config)
+        if not more.isEmpty():
+            links = materialize(links.unionByName(more), "links")
+            component = connected_components(links)
+            release(met)
+            met = materialize(open_members(others, component), "open")
+        before, outside = outside, _outside(met, config)
+        if outside * 4 > before * 3:
+            break  # leaders join little here: the rest is compared in blocks
+    more = joining_links(docs, met, near, key, text, config)
     if not more.isEmpty():
-        component = connected_components(first.unionByName(more))
+        component = connected_components(links.unionByName(more))
+    release(leaders, members, ids, near, met, links, more)
     labels = nodes.select("set_hi", "set_lo", "id").join(component.withColumnRenamed("node", "id"), "id", "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component_id"))
     found = sketch.select(key, "n_shingles", "set_hi", "set_lo").join(labels, ["set_hi", "set_lo"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col(key).isNotNull(), F.col("component_id")).otherwise(F.col(key))
     return found.select(key, "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col(key)).alias("kept"))
 
 
+def _outside(members: DataFrame, config: NearDupConfig) -> int:
+    """Members outside the largest component of their bucket, in buckets where they are more than a block."""
+    return members.where((F.col("n_out") > config.block) & (F.col("component") != F.col("top"))).count()
+
+
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", config: NearDupConfig | None = None) -> DataFrame:
     """The documents that stay: one of each component, and all without words; all input columns."""
-    kept = near_duplicates(docs, key, text, config).where("kept").select(F.col(key).alias("__lithograin_kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("__lithograin_kept")), "left_semi")
+    config = config or NearDupConfig()
+    # A null key is never dropped, and one that repeats stays if any of its rows stays.
+    dropped = near_duplicates(docs, key, text, config).groupBy(F.col(key).alias("__lithograin_dropped")).agg(F.max("kept").alias("any")).where(~F.col("any")).select("__lithograin_dropped")
+    dropped = materialize(dropped, "dropped")
+    return docs.join(few(dropped, config.broadcast_ids), F.col(key) == F.col("__lithograin_dropped"), "left_anti")

@@ -61,7 +61,7 @@ def corpus(rng, groups=14):
     return rows
 
 
-@pytest.mark.parametrize("config", [NearDupConfig(), NearDupConfig(block=4, split_above=6), NearDupConfig(block_shingles=300, split_above=10**6)])
+@pytest.mark.parametrize("config", [NearDupConfig(), NearDupConfig(block=4), NearDupConfig(block_shingles=300), NearDupConfig(block=2, broadcast_ids=0)])
 def test_near_duplicates_against_brute_force(make, clash, config):
     rng = random.Random(7)
     rows = corpus(rng) + [(5000, None), (5001, ""), (5002, " \n "), (5003, "a b"), (5004, "A  b"), (5005, "a b c")]
