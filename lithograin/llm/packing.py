@@ -9,7 +9,6 @@ up; what is left at the end becomes windows of powers of two, which need no padd
 
 from __future__ import annotations
 
-import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -17,48 +16,45 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, text_pieces
 
 WINDOW = 1024
 #: The separator id that ends every document.
 END_ID = 0
-#: Open windows of a task before they are closed early; bounds a task's memory.
+#: Open windows of a task before some are closed early; bounds a task's memory.
 OPEN_LIMIT = 16384
-#: Chunks whose ids a Python worker remembers; bounds its memory.
-CACHE_LIMIT = 700_000
-#: Fixed value: the rule by which byte-level vocabularies split a text before the merges.
-SPLIT_RULE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Chunks whose ids a Python worker remembers, and bytes of each; they bound its memory.
+CACHE_LIMIT = 1_000_000
+CACHE_BYTES = 64
 #: Sequence ids of task k start at k << TASK_BITS.
 TASK_BITS = 38
 
 
-def chunk_merger(path: str) -> tiktoken.Encoding:
-    """The vocabulary of a byte-level file as ranks. Such files write a byte as a printable
-    character: itself, or the next free code point from 256 on."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    special = {t["content"] for t in spec["added_tokens"]}
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in printable]
-    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("chunks", pat_str=SPLIT_RULE, mergeable_ranks=ranks, special_tokens={})
+def _wide_space(data: np.ndarray) -> np.ndarray:
+    """Where a white-space character beyond ASCII begins in UTF-8 bytes."""
+    found = np.zeros(len(data), dtype=bool)
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if len(lead):
+        padded = np.append(data, [0, 0])
+        code = (padded[lead].astype(np.int64) << 16) | (padded[lead + 1].astype(np.int64) << 8) | padded[lead + 2]
+        two = np.isin(code >> 8, [0xC285, 0xC2A0])
+        three = np.isin(code, [0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
+        found[lead[two | three]] = True
+    return found
 
 
 class ChunkTokenizer:
-    """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
-
-    The tokenizer's splitting rule never joins what stands before a white-space
-    character with what follows it, unless white space touches white space. So a text
-    without two such characters in a row is a series of chunks (one separator and a
-    word) that are encoded once each and remembered. Other texts are encoded whole.
-    Both ways give the ids of the ``tokenizers`` file; for single chunks the same vocabulary
-    is applied by a merger whose calls cost less (a test holds them against each other).
+    """Token ids of whole texts, by a ``tokenizers`` file.
+
+    The tokenizer's splitting rule never joins what stands before a blank or a line break with
+    what follows it, unless white space touches white space. So a text without such places
+    is a series of chunks (a separator and a word; the first has no separator) that are
+    encoded once each and remembered. Any other text is one chunk, encoded whole.
     """
 
     def __init__(self, path: str, cache_limit: int = CACHE_LIMIT):
@@ -66,37 +62,95 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.merger = chunk_merger(path)
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
         self.limit = cache_limit
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [pack(f"<{len(ids := e.ids)}I", *ids) for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+        (self.line_break,) = self._whole(["\n"])[0]
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of chunks. Those without a line break are encoded many at a time, one a line: a line break
+        is a token of its own there, and it stands in none of them."""
+        out: list[bytes] = [b""] * len(chunks)
+        alone = [i for i, c in enumerate(chunks) if b"\n" in c or b"<|" in c or len(c) > CACHE_BYTES]
+        apart = set(alone)
+        many = [i for i in range(len(chunks)) if i not in apart]
+        for at in range(0, len(many), 512):
+            group = many[at : at + 512]
+            ids = np.array(self._whole(["\n".join(chunks[i].decode() for i in group)])[0], dtype="<u4")
+            cuts = np.flatnonzero(ids == self.line_break)
+            if len(cuts) != len(group) - 1:
+                alone += group
+                continue
+            data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+            start = 0
+            for i, end in zip(group, ends, strict=True):
+                out[i], start = data[start:end], end + 4
+        for at in range(0, len(alone), 256):
+            group = alone[at : at + 256]
+            for i, ids in zip(group, self._whole([chunks[i].decode() for i in group]), strict=True):
+                out[i] = pack(f"<{len(ids)}I", *ids)
+        return out
 
     @staticmethod
-    def chunks(text: str) -> list[str] | None:
-        """The chunks, or None where the text must be encoded whole. A chunk after a
-        line break starts with it; other chunks but the first stand for ' ' + chunk."""
-        words = text.split()
-        gaps = len(text) - len("".join(words))
-        # One white-space character between words, none at the ends, blanks and line breaks only, and no special token.
-        if gaps != len(words) - 1 or text.count(" ") + text.count("\n") != gaps or "<|" in text:
-            return None
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return ["\x00" + first, *rest]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        split = [self.chunks(t) for t in texts]
-        cache = self.cache
-        one = self.merger.encode_ordinary
-        for c in set().union(*(chunks for chunks in split if chunks)).difference(cache):
-            ids = one(c[1:] if c[0] == "\x00" else c if c[0] == "\n" else " " + c)
-            cache[c] = pack(f"<{len(ids)}I", *ids)
-        whole = iter(self._encode([t for t, c in zip(texts, split, strict=True) if c is None]))
-        get = cache.__getitem__
-        return [next(whole) if chunks is None else b"".join(map(get, chunks)) for chunks in split]
+    def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All texts cut into chunks end to end, and each text's first chunk (one more at the end)."""
+        data, bounds = _bytes_of(texts)
+        n = len(bounds) - 1
+        blank = (data == 32) | (data == 10)
+        space = blank | ((data >= 9) & (data <= 13)) | ((data >= 28) & (data <= 31)) | _wide_space(data)
+        # A place that keeps its text whole: white space at either end or beside white space, other white space, a special token's mark.
+        odd = space & ~blank
+        if len(data):
+            odd[1:] |= space[1:] & space[:-1]
+            odd[1:] |= (data[:-1] == 60) & (data[1:] == 124)
+            filled = bounds[1:] > bounds[:-1]
+            for edge in (bounds[:-1][filled], bounds[1:][filled] - 1):
+                odd[edge] |= space[edge]
+        count = np.concatenate([[0], np.cumsum(odd)])
+        whole = count[bounds[1:]] > count[bounds[:-1]]
+        begins = np.flatnonzero(blank)
+        begins = begins[~whole[np.searchsorted(bounds, begins, side="right") - 1]]
+        starts = np.sort(np.concatenate([bounds[:-1][bounds[1:] > bounds[:-1]], begins]))
+        first = np.searchsorted(starts, bounds, side="left")
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), first
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's begin (one more at the end)."""
+        chunks, first = self.chunks(texts)
+        if not len(chunks):
+            return np.zeros(0, dtype="<u4"), np.zeros(len(first), dtype=np.int64)
+        coded = chunks.dictionary_encode()
+        distinct, cache = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.cache
+        ids = list(map(cache.get, distinct))
+        new = [i for i, found in enumerate(ids) if found is None]
+        if len(cache) + len(new) > self.limit:
+            cache.clear()
+        for i, made in zip(new, self._chunk_ids([distinct[i] for i in new]), strict=True):
+            ids[i] = made
+            if len(distinct[i]) <= CACHE_BYTES:
+                cache[distinct[i]] = made
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        joined = np.frombuffer(b"".join(ids), dtype="<u4")
+        which = coded.indices.to_numpy()
+        take = sizes[which]
+        ends = np.cumsum(take)
+        shift = (np.cumsum(sizes) - sizes)[which] - (ends - take)
+        return joined[np.repeat(shift, take) + np.arange(int(ends[-1]))], np.append(0, ends)[first]
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts, and where each begins (one more at the end)."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    bounds = np.append(0, np.cumsum(sizes))
+    _, offsets, data = texts.buffers()
+    if data is None or not bounds[-1]:
+        return np.zeros(0, np.uint8), bounds
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    begin = int(np.frombuffer(offsets, dtype=kind)[texts.offset])
+    return np.frombuffer(data, dtype=np.uint8)[begin : begin + int(bounds[-1])], bounds
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
@@ -146,7 +200,7 @@ class LevelPacker:
         if at < len(ids):
             self._place((key, at // 4, ids[at:], total))
             if self.n_open > self.limit:
-                self._merge(last=False)
+                self._merge(self.n_open // 2)
 
     def _place(self, piece: tuple) -> None:
         size = len(piece[2]) // 4
@@ -165,13 +219,20 @@ class LevelPacker:
             self.levels[filled] += 1
             self.n_open += 1
 
-    def _merge(self, last: bool) -> None:
-        """Close the open windows: cut their pieces end to end into whole windows. The rest
-        is kept open, or becomes windows of powers of two."""
-        pieces = [p for stack in self.open for window in stack for p in window]
-        self.open = [[] for _ in range(self.window)]
-        self.levels[:] = 0
-        self.n_open = 0
+    def _merge(self, most: int | None = None) -> None:
+        """Close open windows: cut their pieces end to end into whole windows. With ``most`` so many of
+        them, the fullest ones, and what doesn't fill a window is open again; else all of them, and the
+        last windows are powers of two."""
+        last = most is None
+        left_over = self.n_open if last else most
+        pieces: list[tuple] = []
+        for level in range(self.window - 1, 0, -1):
+            stack = self.open[level]
+            while stack and left_over:
+                pieces += stack.pop()
+                self.levels[level] -= 1
+                self.n_open -= 1
+                left_over -= 1
         left = sum(len(p[2]) for p in pieces) // 4
         row: list[tuple] = []
         room = self._room(left, last)
@@ -186,7 +247,8 @@ class LevelPacker:
         if row:
             filled = sum(len(p[2]) for p in row) // 4
             self.open[filled].append(row)
-            self.levels[filled], self.n_open = 1, 1
+            self.levels[filled] += 1
+            self.n_open += 1
 
     def _room(self, left: int, last: bool) -> int:
         if left >= self.window or not last or left == 0:
@@ -194,7 +256,7 @@ class LevelPacker:
         return 1 << (left.bit_length() - 1)
 
     def finish(self) -> None:
-        self._merge(last=True)
+        self._merge()
 
     def take(self) -> list[tuple]:
         done, self.out = self.out, []
@@ -239,10 +301,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", te
         for batch in batches:
             encoder = encoder or worker_tokenizer(tokenizer_path)
             batch_kind = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for k, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    packer.add(k, ids + end)
+            for piece in text_pieces(batch, 1, max_bytes=1 << 21, max_rows=4096):
+                ids, first = encoder.encode(piece.column(1))
+                data, cuts = ids.tobytes(), (4 * first).tolist()
+                for k, a, b in zip(piece.column(0).to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                    packer.add(k, data[a:b] + end)
             yield from rows()
         packer.finish()
         if batch_kind is not None:

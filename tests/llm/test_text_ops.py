@@ -216,15 +216,21 @@ def tokenizer():
 
 def test_chunks_give_the_tokenizers_ids(tokenizer):
     rng = random.Random(5)
-    texts = [t or "" for t in ODD if len(t or "") < 60_000]
-    pieces = ["word", "Été", "a.b", "it's", "  ", "\n", "\n\n", " \n", "\t", " ", "　", "文字", "123", "<|endoftext|>", "<|", "​", "\x1f", "!?", "\r\n", "'ll"]
+    texts = [None, *(t for t in ODD if len(t or "") < 60_000), "a \x00b c", "\x00", "\x00 \x00"]
+    pieces = ["word", "Été", "a.b", "it's", "  ", "\n", "\n\n", " \n", "\t", " ", "　", "文字", "123", "<|endoftext|>", "<|", "​", "\x00", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u2028", "\u2029", "\xa0", "!?", "\r\n", "'ll", "😀"]
     texts += ["".join(rng.choice(pieces) + rng.choice([" ", "", " "]) for _ in range(rng.randint(1, 12))) for _ in range(800)]
-    chunked = packing.ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json"), cache_limit=50)
-    got = []
-    for i in range(0, len(texts), 37):
-        got += chunked.encode(texts[i : i + 37])
-    for text, ids in zip(texts, got, strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    # Code points of every kind, between letters, after a blank, before a blank and beside a line break.
+    points = [*range(0x3100), *(c for c in rng.sample(range(0x3100, 0x110000), 1500) if not 0xD800 <= c < 0xE000)]
+    texts += [form.format(chr(c)) for c in points for form in ("x {0}y z{0} w{0}v", "q{0}\nr {0}")]
+    chunked = packing.ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json"), cache_limit=500)
+    want = [e.ids for e in tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    for size in (37, 1500):
+        for i in range(0, len(texts), size):
+            ids, first = chunked.encode(pa.array(texts[i : i + size], pa.string()).slice(0))
+            assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == want[i : i + size]
+    middle = pa.array(["left out", "a b", "c  d"]).slice(1)
+    ids, first = chunked.encode(middle)
+    assert ids[: first[1]].tolist() == tokenizer.encode("a b").ids and ids[first[1] :].tolist() == tokenizer.encode("c  d").ids
 
 
 def test_sum_of_squares_choice():
