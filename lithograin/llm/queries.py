@@ -140,32 +140,24 @@ ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 ALNUM_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 
-def _seeds_sql(source: str, key: str) -> str:
-    """key, words, n, pos, seed of every window and mask."""
-    masks = " UNION ALL ".join(f"SELECT {k} AS mask, [{', '.join(str(i) for i, bit in enumerate(m) if bit == '1')}] AS places" for k, m in enumerate(decontam.MASKS))
-    span = len(decontam.MASKS[0])
-    return f"""
-    SELECT {key}, words, len(words) AS n, pos, mask || ' ' || array_to_string([words[pos + p + 1] FOR p IN places], ' ') AS seed
-    FROM (SELECT {key}, words, unnest(range(0, greatest(len(words) - {span} + 1, 0))) AS pos
-          FROM (SELECT {key}, regexp_extract_all(lower(coalesce(text, '')), {ALNUM_WORDS}) AS words FROM {source})), ({masks})
-    """
-
-
+#: All windows on all diagonals that have enough equal words, whatever masks see.
 OP7_SQL = f"""
-WITH train AS ({_seeds_sql("documents", "doc_id")}),
-test AS ({_seeds_sql("benchmark", "item_id")}),
-hits AS (
-  SELECT DISTINCT doc_id, item_id, a.pos AS pos, b.pos AS item_pos, a.words AS dw, b.words AS iw, b.n AS n_item,
-         least({decontam.WINDOW}, b.n) AS size, a.pos - b.pos AS shift
-  FROM train a JOIN test b ON a.seed = b.seed
-), judged AS (
-  SELECT doc_id, item_id, pos, shift, size,
-    list_max([len([k FOR k IN range(0, size) IF s + k + shift >= 0 AND iw[s + k + 1] = dw[CASE WHEN s + k + shift >= 0 THEN s + k + shift + 1 END]])
-              FOR s IN range(greatest(0, item_pos + {len(decontam.MASKS[0])} - size), least(item_pos, n_item - size) + 1)]) AS matched
-  FROM hits
+WITH train AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), {ALNUM_WORDS}) AS words FROM documents)
+), test AS (
+  SELECT item_id, len(words) AS n, unnest(words) AS word, unnest(range(len(words))) AS pos
+  FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), {ALNUM_WORDS}) AS words FROM benchmark)
+), diagonals AS (
+  SELECT doc_id, item_id, n, least({decontam.WINDOW}, n) AS size, a.pos - b.pos AS shift, list(DISTINCT b.pos) AS places
+  FROM train a JOIN test b ON a.word = b.word GROUP BY ALL
+  HAVING count(DISTINCT b.pos) >= ceil(least({decontam.WINDOW}, n) * {decontam.MIN_SHARE} - 1e-9)
+), windows AS (
+  SELECT doc_id, item_id, size, shift, [p FOR p IN places IF p >= s AND p < s + size] AS inside
+  FROM (SELECT *, unnest(range(0, n - size + 1)) AS s FROM diagonals)
 )
-SELECT doc_id, item_id, count(DISTINCT shift) AS n_places, min(pos) AS first_word, max(matched) AS matched, max(size) AS compared
-FROM judged WHERE matched >= ceil(size * {decontam.MIN_SHARE} - 1e-9) GROUP BY doc_id, item_id
+SELECT doc_id, item_id, count(DISTINCT shift) AS n_places, min(list_min(inside) + shift) AS first_word, max(len(inside)) AS matched, max(size) AS compared
+FROM windows WHERE len(inside) >= ceil(size * {decontam.MIN_SHARE} - 1e-9) GROUP BY doc_id, item_id
 """
 
 

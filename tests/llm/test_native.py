@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from itertools import combinations
 import struct
 import zlib
 from collections import defaultdict
@@ -105,18 +106,30 @@ def test_decontamination(spark, make, none, clash):
 
 
 def overlaps(doc, item):
-    """(diagonals, most equal tokens) of every overlap, by comparing all windows."""
+    """(diagonals, first equal token, most equal tokens) of every overlap, by comparing all windows."""
     size = min(20, len(item))
-    found = {}
+    found, first = {}, []
     for shift in range(-len(item), len(doc)):
         equal = [0 <= k + shift < len(doc) and doc[k + shift] == w for k, w in enumerate(item)]
-        best = max(sum(equal[s : s + size]) for s in range(len(item) - size + 1))
-        if best >= math.ceil(0.8 * size - 1e-9):
-            found[shift] = best
-    return len(found), max(found.values(), default=0)
+        counts = {s: sum(equal[s : s + size]) for s in range(len(item) - size + 1)}
+        good = [s for s, n in counts.items() if n >= math.ceil(0.8 * size - 1e-9)]
+        if good:
+            found[shift] = max(counts.values())
+            first += [min(k for k in range(s, s + size) if equal[k]) + shift for s in good]
+    return len(found), min(first, default=0), max(found.values(), default=0)
 
 
-def test_decontamination_finds_every_overlap(spark, make):
+def test_masks_find_every_placement():
+    for size, masks in enumerate(decontam.masks_for(20, 0.8), 1):
+        wrong = size - decontam.needed(size, 0.8)
+        assert masks in dict(decontam.MASKS).values()  # none had to be replaced
+        for placement in combinations(range(size), wrong):
+            assert any(all(at + i not in placement for i, bit in enumerate(mask) if bit == "1") for mask in masks for at in range(size - len(mask) + 1)), (size, placement)
+    assert decontam.masks_for(20, 0.5)[-1] == ("1",) and not decontam.covers(("111",), 5, 2) and decontam.covers(("11",), 5, 1)
+
+
+@pytest.mark.parametrize("share", [0.8, 0.6])
+def test_decontamination_finds_every_overlap(spark, make, share):
     rng = random.Random(5)
     items = [[f"i{n}w{k}" for k in range(n)] for n in (*range(1, 21), 33)]
     docs = []
@@ -129,10 +142,26 @@ def test_decontamination_finds_every_overlap(spark, make):
                 copy[k] = "other"
             docs.append([*words(rng, rng.choice([0, 3, 30])), *copy, *words(rng, rng.choice([0, 3, 30]))])
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    frame = make([" ".join(d) for d in docs])
+    if share != 0.8:  # a share for which the fixed masks aren't made: nothing is missed either
+        some = {(r.doc_id, r.item_id) for r in decontam.contamination(frame, bench).collect()}
+        assert some <= {(r.doc_id, r.item_id) for r in decontam.contamination(frame, bench, min_share=share).collect()}
+        return
     want = {(d, i, *overlaps(doc, item)) for d, doc in enumerate(docs) for i, item in enumerate(items)}
     for limit in (10**6, 0):
-        found = decontam.contamination(make([" ".join(d) for d in docs]), bench, broadcast_seeds=limit).collect()
-        assert {(r.doc_id, r.item_id, r.n_places, r.matched) for r in found} == {w for w in want if w[2]}
+        found = decontam.contamination(frame, bench, broadcast_seeds=limit).collect()
+        assert {(r.doc_id, r.item_id, r.n_places, r.first_word, r.matched) for r in found} == {w for w in want if w[2] or w[4]}
+
+
+def test_decontamination_of_ties_and_null_keys(spark, make):
+    passage = " ".join(f"p{k}" for k in range(22))
+    bench = spark.createDataFrame([(1, passage), (1, passage), (None, passage), (2, "gone")], "item_id long, text string")
+    docs = make([(None, f"a {passage} b {passage}", "s"), (None, f"a {passage} b {passage}", "s"), (7, "x " * 50_000 + passage, "s"), (8, "clean text", "s")])
+    for limit in (10**6, 0):
+        found = decontam.contamination(docs, bench, broadcast_seeds=limit).collect()
+        want = [(k, i, n, at, 20, 20) for k, n, at in ((None, 2, 1), (7, 1, 50_000)) for i in (1, None)]
+        assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+    assert [r.doc_id for r in decontam.remove_contaminated(docs, bench).collect()] == [8]
 
 
 def test_native_plans_have_no_python(spark, make):
