@@ -49,18 +49,19 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", t
 
     Texts are equal when identical without ASCII white space; null counts as empty, and
     all empty texts form one group. Of equal texts the one with most code points stays,
-    then the smallest key. Rows that repeat a key and a text count in group_size
-    and share ``kept``. An empty table gives an empty result.
+    then the smallest key (a null key before all others). Rows that repeat a key and a text count in group_size
+    and share ``kept``; of rows that repeat a key with texts of other lengths only those of the longest are kept. An empty table gives an empty result.
     """
     rows = materialize(digests(docs, key, text), "digests")
     least = max(2, int(rows.count() * share))
     candidates = heavy_digests(rows, least, tracked)
     stats = rows.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(best_row(key).alias("best"), F.count(F.lit(1)).alias("group_size"))
     winners = materialize(stats.where(F.col("group_size") >= least), "winners")  # at most `tracked` rows, whatever the input
-    heavy = rows.join(F.broadcast(winners), "digest").select(key, F.col("best.id").alias("keep_id"), "group_size", "digest")
+    heavy = rows.join(F.broadcast(winners), "digest").select(key, "n_points", "best", "group_size", "digest")
     group = Window.partitionBy("digest")
     light = (
         rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-        .select(key, best_row(key).over(group).getField("id").alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size"), "digest")
+        .select(key, "n_points", best_row(key).over(group).alias("best"), F.count(F.lit(1)).over(group).alias("group_size"), "digest")
     )
-    return heavy.unionByName(light).select(key, "keep_id", F.col("group_size").cast("long"), F.col("keep_id").eqNullSafe(F.col(key)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    kept = F.col("best.id").eqNullSafe(F.col(key)) & (F.col("best.neg") == -F.col("n_points"))
+    return heavy.unionByName(light).select(key, F.col("best.id").alias("keep_id"), F.col("group_size").cast("long"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -65,6 +65,13 @@ def test_exact_dedup_against_brute_force(make, odd, clash, share):
     assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_exact_dedup_of_repeated_keys(make, share):
+    rows = [(5, "a b", "s"), (5, "a  b", "s"), (6, "ab", "s"), (6, "ab", "s"), (None, "c", "s"), (None, "c ", "s")]
+    found = exact_dedup.exact_duplicates(make(rows), share=share).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in found) == [("5", "5", 4, False), ("5", "5", 4, True), ("6", "5", 4, False), ("6", "5", 4, False), ("None", "None", 2, False), ("None", "None", 2, True)]
+
+
 def test_exact_dedup_of_nothing(none):
     assert exact_dedup.exact_duplicates(none).collect() == []
 
