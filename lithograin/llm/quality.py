@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, TextBatch, text_or_empty, text_pieces
+from .common import SPACE, TextBatch, text_or_empty
 
 #: Kinds of bytes: letters lower, upper, non-ASCII, digits, white space, sentence marks, other marks by group.
 KINDS = 10
@@ -40,6 +41,11 @@ def _kind_table() -> np.ndarray:
 
 KIND = _kind_table()
 
+#: Lines and bytes whose features a worker holds at once, and lines of a chain that advance in one go; they bound its memory.
+STRETCH_LINES = 16_384
+STRETCH_BYTES = 1 << 18
+CHAIN = 2048
+
 
 @dataclass(frozen=True)
 class QualityConfig:
@@ -47,6 +53,8 @@ class QualityConfig:
     max_docs_per_class: int = 3000
     #: Documents with more lines than this are not sampled for training (they are scored whole).
     max_train_lines: int = 1500
+    #: Lines of each class that training reads at most; 336 bytes each on the driver.
+    max_lines_per_class: int = 100_000
     rounds: int = 3
     steps: int = 80
     rate: float = 0.08
@@ -126,6 +134,14 @@ def forward_backward(score: np.ndarray, first: np.ndarray, transitions: np.ndarr
 
     All documents advance together, the longest first, one line a step; messages are
     normalised at every step."""
+    ones = np.ones((len(first) - 1, 2))
+    p, total, _, _ = _messages(score, first, transitions, ones, ones, pairs)
+    return (p, total) if pairs else p
+
+
+def _messages(score: np.ndarray, first: np.ndarray, transitions: np.ndarray, enter: np.ndarray, leave: np.ndarray, pairs: bool = False):
+    """Marginals of chains that others may go before or after: ``enter`` and ``leave`` are the messages that
+    come in at their ends. Also the expected transitions, and the two messages that go out with the logarithm of their scale."""
     counts = np.diff(first)
     order = np.argsort(-counts, kind="stable")
     begin, counts = first[:-1][order], counts[order]
@@ -134,23 +150,69 @@ def forward_backward(score: np.ndarray, first: np.ndarray, transitions: np.ndarr
     emit = np.column_stack([1 - good, good])
     longest = int(counts[0]) if len(counts) else 0
     active = np.searchsorted(-counts, -np.arange(longest), side="left")
-    forward, backward = np.empty_like(emit), np.ones_like(emit)
+    forward, backward = np.empty_like(emit), np.empty_like(emit)
+    up, down = np.zeros(len(counts)), np.zeros(len(counts))  # logarithms of what was divided out
     for t in range(longest):
         at = begin[: active[t]] + t
-        message = emit[at] if t == 0 else emit[at] * (forward[at - 1] @ step)
-        forward[at] = message / message.sum(axis=1, keepdims=True)
+        message = emit[at] * (enter[order[: active[t]]] if t == 0 else forward[at - 1] @ step)
+        size = message.sum(axis=1, keepdims=True)
+        forward[at] = message / size
+        up[: active[t]] += np.log(size[:, 0])
+    backward[begin + counts - 1] = leave[order]
     total = np.zeros((2, 2))
     for t in range(longest - 1, 0, -1):
         at = begin[: active[t]] + t
         later = emit[at] * backward[at]
         message = later @ step.T
-        backward[at - 1] = message / message.sum(axis=1, keepdims=True)
+        size = message.sum(axis=1, keepdims=True)
+        backward[at - 1] = message / size
+        down[: active[t]] += np.log(size[:, 0])
         if pairs:
             joint = forward[at - 1][:, :, None] * step[None] * later[:, None, :]
             total += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
     both = forward * backward
     p = both[:, 1] / both.sum(axis=1)
-    return (p, total) if pairs else p
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    out_up = (forward[first[1:] - 1], up[back])
+    out_down = (emit[first[:-1]] * backward[first[:-1]], down[back])
+    return p, total, out_up, out_down
+
+
+def long_chain_mean(score: np.ndarray, weight: np.ndarray, transitions: np.ndarray, chain: int = CHAIN, at_once: int = 64) -> float:
+    """Weighted mean of P(good) over one long document, exact, in chains of ``chain`` lines. What a chain does to the messages that
+    come in is a (2, 2) matrix; these matrices carry the messages along the document, and then every chain is summed up for itself."""
+    cuts = np.append(np.arange(0, len(score), chain), len(score))
+    n = len(cuts) - 1
+    step = np.exp(transitions - transitions.max())
+    ups, downs = np.empty((n, 2, 2)), np.empty((n, 2, 2))  # chain, state that comes in, state that goes out
+
+    def groups() -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        for a in range(0, n, at_once):
+            b = min(a + at_once, n)
+            yield slice(a, b), score[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a]
+
+    for part, own, first in groups():
+        sides = []
+        for state in range(2):
+            unit = np.tile(np.eye(2)[state], (len(first) - 1, 1))
+            with np.errstate(invalid="ignore"):  # marginals of a chain of one line; they aren't used
+                sides.append(_messages(own, first, transitions, unit, unit)[2:])
+        for k, kept in enumerate((ups, downs)):
+            (zero, low), (one, high) = sides[0][k], sides[1][k]
+            top = np.maximum(low, high)
+            kept[part, 0], kept[part, 1] = zero * np.exp(low - top)[:, None], one * np.exp(high - top)[:, None]
+    enter, leave = np.ones((n, 2)), np.ones((n, 2))
+    for k in range(1, n):
+        out = enter[k - 1] @ ups[k - 1]
+        enter[k] = out / out.sum() @ step
+        out = leave[n - k] @ downs[n - k]
+        leave[n - k - 1] = out / out.sum() @ step.T
+    total = 0.0
+    for part, own, first in groups():
+        p = _messages(own, first, transitions, enter[part], leave[part])[0]
+        total += float(p @ weight[cuts[part.start] : cuts[part.stop]])
+    return total / float(weight.sum())
 
 
 def fit_crf(features: np.ndarray, first: np.ndarray, target: np.ndarray, line_weight: np.ndarray, config: QualityConfig, start: Crf | None = None) -> Crf:
@@ -191,9 +253,53 @@ class QualityModel:
     intercept: float
 
     def score(self, lines: LineBatch) -> np.ndarray:
-        mean = document_means(self.crf.marginals(lines.features, lines.first), lines.weight, lines.first)
+        return self._of_mean(document_means(self.crf.marginals(lines.features, lines.first), lines.weight, lines.first))
+
+    def _of_mean(self, mean: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * _logit(mean) + self.intercept)))
 
+    def score_texts(self, texts: pa.Array) -> np.ndarray:
+        """Scores of whole texts, some lines at a time."""
+        out = np.empty(len(texts))
+        for at, to, is_long in line_pieces(texts):
+            if is_long:
+                score, weight = long_emissions(texts[at].as_py().encode(), self.crf)
+                out[at] = self._of_mean(np.array([long_chain_mean(score, weight, self.crf.transitions)]))[0]
+            else:
+                out[at:to] = self.score(line_features(texts.slice(at, to - at)))
+        return out
+
+
+def line_pieces(texts: pa.Array) -> Iterator[tuple[int, int, bool]]:
+    """Ranges of texts with at most about ``STRETCH_LINES`` lines and ``STRETCH_BYTES`` bytes, one text at least, and
+    whether it is a single text with more lines or bytes than a stretch."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lines = pc.fill_null(pc.count_substring(texts, "\n"), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    share = lines / STRETCH_LINES + sizes / STRETCH_BYTES
+    total = np.concatenate([[0.0], np.cumsum(share)])
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + 1, side="right")) - 1)
+        yield at, to, bool(share[at] > 1 and lines[at] > 1)
+        at = to
+
+
+def long_emissions(data: bytes, crf: Crf) -> tuple[np.ndarray, np.ndarray]:
+    """Emission and weight of every line of one text. Features are made for a stretch of lines at a time,
+    with the line before and the line after it, so they are those of the whole text."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    starts = np.append(0, np.flatnonzero(raw == 10) + 1)
+    n, ends = len(starts), np.append(starts, len(raw))[1:]
+    score = np.empty(n)
+    a = 0
+    while a < n:
+        b = min(a + STRETCH_LINES, max(a + 1, int(np.searchsorted(ends, starts[a] + STRETCH_BYTES, side="right"))), n)
+        low, high = max(a - 1, 0), min(b + 1, n)
+        part = line_features(pa.array([data[starts[low] : ends[high - 1]].decode()]))
+        score[a:b] = crf.emissions(part.features[a - low : a - low + b - a])
+        a = b
+    return score, np.maximum(ends - starts, 1).astype(np.float64)
+
 
 def calibrate(mean: np.ndarray, good: np.ndarray, weight: np.ndarray, steps: int = 60) -> tuple[float, float]:
     """Logistic map of the mean's log-odds, by Newton steps; the slope stays positive."""
@@ -245,18 +351,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     totals = {r["_label"]: r["n"] for r in marked.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = [marked.where(F.col("_label") == y).orderBy(F.xxhash64("_key"), "_key").limit(config.max_docs_per_class) for y in (0, 1)]
-    sample = docs.select(key, text).join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col(key) == F.col("_key")).where(F.size(F.split(text_or_empty(text), "\n")) <= config.max_train_lines)
+    sample = docs.select(key, text).join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col(key) == F.col("_key"))
+    sample = sample.select(F.col(key), text_or_empty(text).alias(text), "_label", F.size(F.split(text_or_empty(text), "\n")).alias("_lines")).where(F.col("_lines") <= config.max_train_lines)
+    by_hash = Window.partitionBy("_label").orderBy(F.xxhash64(key), key, text)  # of so few rows that one task will do
+    sample = sample.withColumn("_lines", F.sum("_lines").over(by_hash)).where(F.col("_lines") <= config.max_lines_per_class)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in text_pieces(batch, 1):
+            for at, to, _ in line_pieces(batch.column(1)):
+                piece = batch.slice(at, to - at)
                 lines = line_features(piece.column(1))
                 packed = [lines.features[a:b].tobytes() for a, b in zip(lines.first[:-1], lines.first[1:], strict=True)]
                 weights = [lines.weight[a:b].tobytes() for a, b in zip(lines.first[:-1], lines.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(packed, pa.binary()), pa.array(weights, pa.binary())], names=["key", "label", "features", "weight"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = sample.select(F.col(key), text_or_empty(text).alias(text), "_label").mapInArrow(features, f"key {kind}, label int, features binary, weight binary").collect()
+    rows = sample.select(key, text, "_label").mapInArrow(features, f"key {kind}, label int, features binary, weight binary").collect()
     rows.sort(key=lambda r: (r["key"], r["features"]))  # the same model whatever the order of tasks
     width = line_features(pa.array([""])).features.shape[1]
     parts = []
@@ -272,8 +382,8 @@ def score_quality(docs: DataFrame, model: QualityModel, key: str = "doc_id", tex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in text_pieces(batch, 1):
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(model.score(line_features(piece.column(1))))], names=[key, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score_texts(batch.column(1)))], names=[key, "score"])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(key), text_or_empty(text).alias(text)).mapInArrow(score, f"{key} {kind}, score double")
 
@@ -284,11 +394,17 @@ def classify_lines(docs: DataFrame, model: QualityModel, key: str = "doc_id", te
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in text_pieces(batch, 1):
-                found = line_features(piece.column(1))
-                p = model.crf.marginals(found.features, found.first)
-                doc = np.repeat(np.arange(piece.num_rows), np.diff(found.first))
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(doc)), pa.array(np.arange(len(p)) - found.first[doc]), pa.array(found.weight.astype(np.int64)), pa.array(p), pa.array(p >= 0.5)], names=[key, "line_no", "n_bytes", "p_good", "good"])
+            for at, to, is_long in line_pieces(batch.column(1)):
+                if is_long:
+                    score, weight = long_emissions(batch.column(1)[at].as_py().encode(), model.crf)
+                    first = np.array([0, len(score)])
+                    p = forward_backward(score, first, model.crf.transitions)
+                else:
+                    found = line_features(batch.column(1).slice(at, to - at))
+                    weight, first = found.weight, found.first
+                    p = model.crf.marginals(found.features, first)
+                doc = np.repeat(np.arange(to - at), np.diff(first))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + at)), pa.array(np.arange(len(p)) - first[doc]), pa.array(weight.astype(np.int64)), pa.array(p), pa.array(p >= 0.5)], names=[key, "line_no", "n_bytes", "p_good", "good"])
 
     return docs.select(F.col(key), text_or_empty(text).alias(text)).mapInArrow(lines, f"{key} {kind}, line_no long, n_bytes long, p_good double, good boolean")
 
@@ -317,7 +433,7 @@ def keep_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> Da
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in text_pieces(batch, at):
-                yield piece.filter(pa.array(model.score(line_features(piece.column(at))) >= THRESHOLD))
+            yield batch.filter(pa.array(model.score_texts(batch.column(at)) >= THRESHOLD))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(keep, schema)
