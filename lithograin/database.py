@@ -19,7 +19,7 @@ from .operators.statistics import ColumnStatistics
 from .plans.builder import QueryBuilder
 from .plans.sql import SqlResult, execute, split_statements
 from .sources.files import Files, scratch_dir
-from .sources.storage import ROW_ID, StoredTable
+from .sources.storage import RETENTION, ROW_ID, StoredTable
 from .streaming import for_each_row
 from .types import infer_schema, schema_of
 
@@ -170,14 +170,20 @@ class Database:
 
     # Reading
 
+    def _rows_for(self, name: str, filters: Sequence[Filter]) -> DataFrame:
+        """The table without the files that indexed columns' statistics rule out."""
+        if name in self._registered or name in self._cached or not filters:
+            return self.table(name)
+        return self._stored(name).rows_for(filters, self.semantics).drop(ROW_ID)
+
     def scan(self, name: str, filters: Sequence[Filter] = ()) -> DataFrame:
-        return scan_ops.scan(self.table(name), filters, semantics=self.semantics)
+        return scan_ops.scan(self._rows_for(name, filters), filters, semantics=self.semantics)
 
     def scan_with_limit(self, name: str, filters: Sequence[Filter] = (), limit: int | None = None, offset: int | None = None) -> DataFrame:
-        return scan_ops.scan(self.table(name), filters, limit=limit, offset=offset, semantics=self.semantics)
+        return scan_ops.scan(self._rows_for(name, filters), filters, limit=limit, offset=offset, semantics=self.semantics)
 
     def scan_with_projection(self, name: str, filters: Sequence[Filter] = (), limit: int | None = None, offset: int | None = None, projection: Sequence[int | str] | None = None) -> DataFrame:
-        return scan_ops.scan(self.table(name), filters, limit=limit, offset=offset, projection=projection, semantics=self.semantics)
+        return scan_ops.scan(self._rows_for(name, filters), filters, limit=limit, offset=offset, projection=projection, semantics=self.semantics)
 
     def for_each_row(self, name: str, filters: Sequence[Filter], projection: Sequence[int | str] | None, visit: Callable[[tuple], None]) -> int:
         return for_each_row(self.scan_with_projection(name, filters, projection=projection), visit)
@@ -192,13 +198,37 @@ class Database:
         return scan_ops.scan(rows, filters, projection=projection, semantics=self.semantics)
 
     def count(self, name: str, filters: Sequence[Filter] = ()) -> int:
-        return agg_ops.count(self.table(name), filters, self.semantics).first()["count"]
+        """Without filters the manifest of a stored table knows it."""
+        if not filters and name not in self._registered:
+            return self._stored(name).count()
+        return agg_ops.count(self._rows_for(name, filters), filters, self.semantics).first()["count"]
 
     def aggregate(self, name: str, group_by: Sequence[str], aggs: Sequence[Aggregate], filters: Sequence[Filter] = ()) -> DataFrame:
-        return agg_ops.aggregate(self.table(name), group_by, aggs, filters, self.semantics)
+        """COUNT, MIN and MAX of a whole stored table come from its manifest, if the columns are indexed."""
+        made = agg_ops.aggregate(self._rows_for(name, filters), group_by, aggs, filters, self.semantics)
+        if not group_by and not filters and name not in self._registered:
+            known = self._from_manifest(name, aggs)
+            if known is not None:
+                return self.spark.createDataFrame([known], made.schema)
+        return made
+
+    def _from_manifest(self, name: str, aggs: Sequence[Aggregate]) -> tuple | None:
+        table = self._stored(name)
+        if not aggs or any(a.kind not in ("count", "min", "max") for a in aggs):
+            return None
+        out = []
+        for a in aggs:
+            if a.column is None:
+                out.append(table.count())
+                continue
+            if (ends := table.ends(resolve(self.table(name), a.column))) is None:
+                return None
+            low, high, nulls, rows = ends
+            out.append({"min": low, "max": high, "count": rows - nulls}[a.kind])
+        return tuple(out)
 
     def distinct(self, name: str, columns: Sequence[str], filters: Sequence[Filter] = ()) -> DataFrame:
-        return agg_ops.distinct(self.table(name), columns, filters, self.semantics)
+        return agg_ops.distinct(self._rows_for(name, filters), columns, filters, self.semantics)
 
     def query(self, name: str) -> QueryBuilder:
         return QueryBuilder(name, semantics=self.semantics)
@@ -273,22 +303,22 @@ class Database:
             self._cached[name] = self._stored(name).rows().cache()
 
     def save(self, data_dir: str | None = None) -> None:
-        """Copies all stored tables to another folder; without one there is nothing to do for
-        a database in a folder, and an error for one in memory."""
+        """Copies all stored tables to another folder, where a table of the same name gets the rows as its next state;
+        without a folder, or with its own, there is nothing to do for a database in a folder, and without one it is an
+        error for a database in memory."""
         if data_dir is None:
             if self.in_memory:
                 raise InvalidOperation("a database in memory needs a folder to be saved in")
             return
+        if self._files.same(data_dir, self.data_dir):
+            return
         for name in self.list_tables():
-            if name in self._registered:
-                continue
-            old, new = self._stored(name), StoredTable(self.spark, f"{data_dir.rstrip('/')}/{name}")
-            if new.exists():
-                new.drop()
-            m = old.manifest()
-            new.create(old.schema(m))
-            part = new._write(old.rows(m))
-            new._commit(new.manifest(), parts=[part], indexes=m["indexes"], next_id=m["next_id"])
+            if name not in self._registered:
+                StoredTable(self.spark, f"{data_dir.rstrip('/')}/{name}").take_over(self._stored(name))
+
+    def vacuum(self, name: str, retention: float = RETENTION) -> int:
+        """Deletes files that only states older than ``retention`` seconds list."""
+        return self._stored(name).vacuum(retention)
 
     def compact(self, name: str, files: int = 1) -> None:
         self._stored(name).compact(files)

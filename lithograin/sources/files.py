@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import json
+import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from ..errors import StorageError
@@ -44,16 +46,29 @@ class Files:
             stream.close()
 
     def write_json(self, path: str, value: dict) -> None:
-        """Written beside and then renamed, so that a reader finds a whole file."""
+        """Written beside and then renamed, so that a reader finds a whole file. An error if the file is there already."""
         beside = f"{path}.{uuid.uuid4().hex}"
         stream = self._fs(path).create(self._path(beside), True)
         try:
             stream.write(bytearray(json.dumps(value).encode()))
         finally:
             stream.close()
-        if not self._fs(path).rename(self._path(beside), self._path(path)):
+        none = self._context._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        where = self._path(path)
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs(path).getUri(), self._context._jsc.hadoopConfiguration())
+        try:
+            context.rename(self._path(beside), where, none)  # never over a file that is there
+        except Py4JJavaError as e:
             self.delete(beside)
-            raise StorageError(f"{path} could not be written; another writer may have been first")
+            raise StorageError(f"{path} could not be written; another writer may have been first") from e
+
+    def modified(self, path: str) -> float:
+        """Seconds since the epoch."""
+        return self._fs(path).getFileStatus(self._path(path)).getModificationTime() / 1000
+
+    def same(self, one: str, other: str) -> bool:
+        """Whether two paths name one place."""
+        return self._fs(one).makeQualified(self._path(one)).equals(self._fs(other).makeQualified(self._path(other)))
 
     def size(self, path: str) -> int:
         return self._fs(path).getContentSummary(self._path(path)).getLength() if self.exists(path) else 0
@@ -67,9 +82,12 @@ def _remove_scratch() -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, removed when the driver ends."""
+    """A new folder that driver and executors share, removed when the driver ends. Where ``spark.checkpoint.dir`` is
+    unset, a local session gets a temporary one; on a cluster that is an error, because no machine's own folder is shared."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise StorageError(f"spark.checkpoint.dir must name a folder that all machines of {spark.sparkContext.master} share")
         base = "file://" + tempfile.mkdtemp(prefix="lithograin-")
         spark.conf.set("spark.checkpoint.dir", base)
     if not _scratch:

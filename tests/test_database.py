@@ -3,8 +3,9 @@ import datetime
 import pytest
 
 from lithograin import Database, Filter, Settings, avg_of, count, max_of, min_of, sum_of
-from lithograin.errors import ColumnNotFound, ConfigError, IndexError_, InvalidOperation, ParserError, QueryError, TableNotFound, TypeMismatch
+from lithograin.errors import ColumnNotFound, ConfigError, IndexError_, InvalidOperation, ParserError, QueryError, StorageError, TableNotFound, TypeMismatch
 from lithograin.functions import predicates as P
+from lithograin.functions.aggregates import count_column
 
 
 @pytest.fixture
@@ -44,9 +45,9 @@ def test_update_and_delete(db):
     db.create_table("t", [("id", "INT"), ("status", "VARCHAR")])
     db.insert_batch("t", [(1, "todo"), (2, "todo")])
     db.insert_batch("t", [(3, None)])
-    parts = set(db._stored("t").manifest()["parts"])
+    files = {f["path"] for f in db._stored("t").manifest()["files"]}
     assert db.update("t", [Filter("id", P.equals(3))], {"status": "done"}) == 1
-    assert len(parts & set(db._stored("t").manifest()["parts"])) == 1  # the other part isn't rewritten
+    assert len(files & {f["path"] for f in db._stored("t").manifest()["files"]}) == 1  # the other file isn't rewritten
     assert values(db.table("t", True)) == [(1, 1, "todo"), (2, 2, "todo"), (3, 3, "done")]
     assert db.update("t", [Filter("id", P.equals(9))], {"status": "x"}) == 0
     with pytest.raises(ColumnNotFound):
@@ -163,3 +164,105 @@ def test_settings(tmp_path):
     for bad in ({"query": {"default_limit": 0}}, {"storage": {"data_dir": ""}}, {"query": {"semantics": "x"}}):
         with pytest.raises(ConfigError):
             Settings.from_dict(bad)
+
+
+def paths(db, name):
+    return {f["path"] for f in db._stored(name).manifest()["files"]}
+
+
+def test_one_row_rewrites_one_file(db, spark):
+    db.insert_dataframe("t", spark.range(4000).repartitionByRange(8, "id").selectExpr("id", "id % 7 AS k"))
+    before = paths(db, "t")
+    assert len(before) == 8
+    assert db.update("t", [Filter("id", P.equals(1234))], {"k": 100}) == 1
+    assert len(before & paths(db, "t")) == 7 and db.count("t") == 4000
+    assert values(db.scan("t", [Filter("k", P.equals(100))])) == [(1234, 100)]
+    db.delete("t", [Filter("id", P.greater_or_equal(3500))])
+    assert 5 <= len(before & paths(db, "t")) <= 6 and db.count("t") == 3500 == db.scan("t").count()
+
+
+def test_statistics_skip_files(db, spark):
+    rows = spark.range(1000).selectExpr("id", "concat('n', lpad(id, 4, '0')) AS name", "nullif(id % 10, 3) AS v")
+    db.insert_dataframe("t", rows.repartitionByRange(5, "id").sortWithinPartitions("id"))
+    db.create_index("t", "id")
+    db.create_index("t", "name")
+    db.create_index("t", "v")
+
+    def read(filters):
+        found = db.scan("t", filters)
+        return sum("/parts/" in f for f in found.inputFiles()), values(found.select("id"))
+
+    for f, most in ((Filter("id", P.equals(17)), 1), (Filter("name", P.between("n0100", "n0150")), 1), (Filter("id", P.is_in([1, 999, None])), 2), (Filter("id", P.less_than(-5)), 0), (Filter("v", P.greater_than(100)), 5), (Filter("id", P.equals(None)), 0), (Filter("v", P.is_null()), 5), (Filter("id", P.greater_or_equal(900.5)), 1), (Filter("name", P.matches("n09%")), 5)):
+        n, found = read([f])
+        assert n <= most, f
+        whole = Database.temporary(spark)
+        whole.register("t", rows)
+        assert found == values(whole.scan("t", [f]).select("id")), f
+    assert tuple(db.aggregate("t", [], [count(), min_of("id"), max_of("name"), min_of("v"), count_column("v", "n")]).first()) == (1000, 0, "n0999", 0, 900)
+    assert not any("/parts/" in f for f in db.aggregate("t", [], [max_of("id")]).inputFiles())
+    db.update("t", [Filter("id", P.equals(999))], {"id": 5000})
+    assert db.aggregate("t", [], [max_of("id")]).first()[0] == 5000
+    db.drop_index("t", "id")
+    assert db.aggregate("t", [], [max_of("id")]).first()[0] == 5000
+
+
+def test_two_writers_and_an_old_reader(db, spark):
+    db.insert_batch("t", [(1, "a"), (2, "b")])
+    old = db.table("t")
+    table = db._stored("t")
+    seen = table.manifest()
+    part = table._write(table.rows(seen), seen)  # a writer that hasn't committed yet
+    db.insert_batch("t", [(3, "c")])
+    db.update("t", [Filter("col0", P.equals(1))], {"col1": "x"})
+    with pytest.raises(StorageError):
+        table._commit(seen, files=part)
+    assert values(db.table("t")) == [(1, "x"), (2, "b"), (3, "c")] and values(old) == [(1, "a"), (2, "b")]
+    assert db.vacuum("t") == 0 and values(old) == [(1, "a"), (2, "b")]
+    assert db.vacuum("t", retention=-60) == 1  # what only older states list; not what was never listed
+    assert values(db.table("t")) == [(1, "x"), (2, "b"), (3, "c")]
+    assert db._files.exists(f"{table.path}/parts/{part[0]['path']}")
+
+
+def test_save_to_its_own_folder_changes_nothing(db):
+    db.insert_batch("t", [(1, "x")])
+    for place in (db.data_dir, db.data_dir + "/", db.data_dir.replace("file://", "file:")):
+        db.save(place)
+        assert values(db.table("t")) == [(1, "x")]
+
+
+def test_sql_leaves_the_callers_views_alone(db, spark):
+    spark.range(3).createOrReplaceTempView("users")
+    db.sql("CREATE TABLE users (id INT, name VARCHAR); INSERT INTO users VALUES (7, 'a')")
+    assert values(db.sql("SELECT users.id, u.name FROM users JOIN users u ON users.id = u.id").rows) == [(7, "a")]
+    assert values(db.sql("WITH few AS (SELECT id FROM users WHERE id > 1) SELECT * FROM few").rows) == [(7,)]
+    assert spark.table("users").count() == 3 and [t.name for t in spark.catalog.listTables() if t.name.startswith("lithograin")] == []
+    spark.catalog.dropTempView("users")
+
+
+def test_sql_inserts_many_rows(db):
+    db.sql("CREATE TABLE t (id INT, name VARCHAR, x FLOAT, ok BOOL)")
+    values_text = ", ".join(f"({i}, 'n{i}', {'-' if i % 2 else ''}{i}.5, {['TRUE', 'false', 'NULL'][i % 3]})" for i in range(3000))
+    assert db.sql(f"INSERT INTO t VALUES {values_text}").affected == 3000
+    assert db.sql("INSERT INTO t VALUES (1 + 2, concat('a', 'b'), 1e3, NOT TRUE), (-(4), 'it\\'s', 2, NULL)").affected == 2
+    assert tuple(db.get_by_id("t", 2)) == (1, "n1", -1.5, False) and tuple(db.get_by_id("t", 3001)) == (3, "ab", 1000.0, False)
+    assert tuple(db.get_by_id("t", 3002)) == (-4, "it's", 2.0, None)
+
+
+def test_databases_and_drops(db):
+    db.sql("CREATE TABLE t (id INT); CREATE INDEX i ON t (id)")
+    assert db.list_indexes("t") == ["id"] and "t" in db.list_tables()
+    assert values(db.sql("SHOW DATABASES").rows) == [(db.data_dir,)] and "other" in db.sql("USE other").message
+    assert db.sql("DROP TABLE t").message == "Table t dropped" and db.list_tables() == []
+    with pytest.raises(TableNotFound):
+        db.scan("t")
+    with pytest.raises(ColumnNotFound):
+        db.query("t").order_by_asc("nope").apply(db.spark.range(2))
+
+
+def test_sums_are_exact(db):
+    rows = [((1 << 62) + 7,), (-(1 << 63),), (12345678901,), (-1,), (None,), ((1 << 62) - 9,), (1 << 40,)]
+    db.create_table("t", [("v", "INT64")])
+    db.insert_batch("t", rows)
+    whole = sum(v for (v,) in rows if v is not None)
+    got = db.aggregate("t", [], [sum_of("v", "s"), avg_of("v", "a")]).first()
+    assert got["s"] == whole and got["a"] == pytest.approx(whole / 6)
