@@ -7,6 +7,7 @@ NULL sorts as the greatest value, DROP TABLE ignores a missing table, identifier
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass
 from decimal import Decimal
@@ -224,13 +225,43 @@ def execute(db: Database, sql: str) -> SqlResult:
 
 
 def _select(db: Database, sql: str) -> DataFrame:
-    words = {t.text.strip("`") for t in tokenize(sql) if t.kind == "word"}
-    for name in db.list_tables():
-        if name in words:
-            db.table(name).createOrReplaceTempView(f"`{name}`")
+    """Tables are named by common table expressions over views of unique names, so that no view of the session's is
+    replaced or seen. The plan is made at once; the views go again."""
+    tokens = tokenize(sql)
+    words = {t.text.strip("`") for t in tokens if t.kind == "word"}
+    own = {t.text.strip("`") for t, after, mark in zip(tokens, tokens[1:], tokens[2:], strict=False) if t.kind == "word" and after.is_("AS") and mark.is_("(")}
+    views = {name: f"lithograin_{uuid.uuid4().hex}" for name in db.list_tables() if name in words and name not in own}
     text = order_nulls_as_greatest(sql.strip().rstrip(";"))
-    with case_sensitive(db.spark):
-        return db.spark.sql(text)
+    named = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in views.items())
+    if named:
+        text = f"WITH {named}, {text[tokens[0].end - tokens[0].start :]}" if tokens[0].is_("WITH") and text[:4].upper() == "WITH" else f"WITH {named} {text}"
+    try:
+        for name, view in views.items():
+            db.table(name).createOrReplaceTempView(view)
+        with case_sensitive(db.spark):
+            return db.spark.sql(text)
+    finally:
+        for view in views.values():
+            db.spark.catalog.dropTempView(view)
+
+
+#: Words that stand for a value.
+WORDS = {"TRUE": True, "FALSE": False, "NULL": None}
+
+
+def _plain(text: str) -> tuple[bool, object]:
+    """Whether the text is a plain literal, and its value. Anything else is for Spark to read."""
+    if (word := text.upper()) in WORDS:
+        return True, WORDS[word]
+    if text[:1] in "'\"" and text[:1] == text[-1:] and len(text) > 1 and "\\" not in text and text[0] not in text[1:-1]:
+        return True, text[1:-1]
+    digits = text[1:].lstrip() if text[:1] == "-" else text
+    if digits.isascii() and digits.isdigit() and len(digits) < 19:
+        return True, -int(digits) if text[0] == "-" else int(digits)
+    whole, dot, rest = digits.partition(".")
+    if dot and (whole + rest).isascii() and (whole + rest).isdigit() and len(digits) < 17:
+        return True, -float(digits) if text[0] == "-" else float(digits)
+    return False, None
 
 
 def _insert(db: Database, r: Reader) -> SqlResult:
@@ -255,9 +286,11 @@ def _insert(db: Database, r: Reader) -> SqlResult:
     r.end()
     if columns is not None and any(len(row) != len(columns) for row in rows):
         raise QueryError("as many values as columns are needed")
-    # Spark reads the literals, with signs and escapes.
-    flat = db.spark.range(1).select(*(F.expr(v).alias(f"v{i}_{j}") for i, row in enumerate(rows) for j, v in enumerate(row))).first()
-    values = [[flat[f"v{i}_{j}"] for j in range(len(row))] for i, row in enumerate(rows)]
+    values = [[_plain(v) for v in row] for row in rows]
+    # Spark reads what isn't a plain literal: expressions, escapes.
+    odd = {(i, j): rows[i][j] for i, row in enumerate(values) for j, (is_plain, _) in enumerate(row) if not is_plain}
+    read = db.spark.range(1).select(*(F.expr(v).alias(f"v{i}_{j}") for (i, j), v in odd.items())).first() if odd else {}
+    values = [[read[f"v{i}_{j}"] if (i, j) in odd else v for j, (_, v) in enumerate(row)] for i, row in enumerate(values)]
     values = [[float(v) if isinstance(v, Decimal) else v for v in row] for row in values]
     if columns is not None:
         names = db.schema(name).names
