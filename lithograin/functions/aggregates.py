@@ -48,8 +48,16 @@ def max_of(column: str, alias: str | None = None) -> Aggregate:
     return Aggregate("max", column, alias)
 
 
-def _wide(c: Column) -> Column:
-    return c.cast("decimal(38,0)")
+#: Bits of a part of a long. Sums of parts fit in longs for 2**42 rows, and need no wide decimals row by row.
+PART = 21
+
+
+def _exact_sum(c: Column) -> Column:
+    """The sum of longs as decimal(38,0)."""
+    low = (1 << PART) - 1
+    parts = (F.shiftright(c, 2 * PART), F.shiftright(c, PART).bitwiseAND(F.lit(low)), c.bitwiseAND(F.lit(low)))
+    sums = [F.sum(p).cast("decimal(28,0)") for p in parts]
+    return (sums[0] * F.lit(1 << 2 * PART).cast("decimal(14,0)") + sums[1] * F.lit(1 << PART).cast("decimal(8,0)") + sums[2]).cast("decimal(38,0)")
 
 
 def compile_aggregate(df: DataFrame, agg: Aggregate, strict: bool = True) -> Column:
@@ -66,7 +74,7 @@ def compile_aggregate(df: DataFrame, agg: Aggregate, strict: bool = True) -> Col
         if not isinstance(kind, T.NumericType):
             raise QueryError(f"{agg.kind.upper()} needs a numeric column, but {name} is {kind.simpleString()}")
         if isinstance(kind, T.LongType):
-            total = F.sum(_wide(c))
+            total = _exact_sum(c)
             made = total.cast("long") if agg.kind == "sum" else total.cast("double") / F.count(c)
             return F.when(F.count(c) > 0, made).alias(agg.name)
         return (F.sum(c) if agg.kind == "sum" else F.avg(c)).alias(agg.name)
