@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .database import Database
+from .errors import ColumnNotFound
 from .functions import aggregates as A
 from .functions import predicates as P
 from .functions.ordering import sort_key
@@ -243,8 +244,11 @@ def join_count(spark, sf_dir):
 @register("manual_join_recent", "SELECT o_orderkey, count(l_orderkey) AS n FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20) LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def manual_join_recent(spark, sf_dir):
     orders, lineitem = join_frames(spark, sf_dir, "orders", "lineitem")
-    recent = scan(orders, order=[("o_orderdate", True), ("o_orderkey", True)], limit=20)
-    return JoinChain.of(recent, "o").join(lineitem, "l", "o.o_orderkey", "l.l_orderkey", "left").joined().groupBy(F.col("o_o_orderkey").alias("o_orderkey")).agg(F.count("l_l_orderkey").alias("n"))
+    # The recent orders are few, so lineitem is cut to theirs and counted before anything is joined to it.
+    recent = scan(orders, order=[("o_orderdate", True), ("o_orderkey", True)], limit=20, projection=["o_orderkey"])
+    lines = semi(lineitem, recent, "l_orderkey").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    joined = JoinChain.of(recent, "o", semantics=P.ANSI).join(lines, "l", "o.o_orderkey", "l.l_orderkey", "left").joined()
+    return joined.groupBy(F.col("o_o_orderkey").alias("o_orderkey")).agg(F.coalesce(F.sum("l_n"), F.lit(0)).alias("n"))
 
 
 # Aggregates
@@ -336,6 +340,95 @@ def get_by_ids(spark, sf_dir):
     return db.get_by_ids("t", [*wanted, -1], projection=["s_suppkey", "s_name"])
 
 
+def the_id(db: Database, condition: Column) -> int:
+    """The row id of the one row that meets a condition."""
+    return db.table("t", with_row_id=True).where(condition).select(ROW_ID).first()[0]
+
+
+@register("get_by_id", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey = 4")
+def get_by_id(spark, sf_dir):
+    db = Database.temporary(spark)
+    db.insert_dataframe("t", read(spark, sf_dir, "supplier"))
+    return spark.createDataFrame([db.get_by_id("t", the_id(db, F.col("s_suppkey") == 4))[:2]], "s_suppkey long, s_name string")
+
+
+@register("for_each_row", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
+def for_each_row(spark, sf_dir):
+    db, seen = Database.temporary(spark), []
+    db.register("t", read(spark, sf_dir, "nation"))
+    db.for_each_row("t", [Filter("n_regionkey", P.equals(2))], ["n_nationkey", "n_name"], seen.append)
+    return spark.createDataFrame(seen, "n_nationkey int, n_name string")
+
+
+changed("update_row", "supplier", "SELECT s_suppkey, CASE WHEN s_suppkey = 7 THEN 'renamed' ELSE s_name END AS s_name, CASE WHEN s_suppkey = 7 THEN 1 ELSE s_nationkey END AS s_nationkey, CASE WHEN s_suppkey = 7 THEN 0.5 ELSE s_acctbal END AS s_acctbal FROM supplier", lambda db: db.update_row("t", the_id(db, F.col("s_suppkey") == 7), (7, "renamed", 1, 0.5)))
+changed("delete_by_id", "supplier", "SELECT * FROM supplier WHERE s_suppkey <> 7", lambda db: db.delete_by_id("t", the_id(db, F.col("s_suppkey") == 7)))
+changed("compact", "supplier", "SELECT * FROM supplier UNION ALL SELECT * FROM (VALUES (100001, 'Extra one', 3, 1.5), (100002, NULL, NULL, -2.0))", lambda db: (db.insert_batch("t", SUPPLIERS), db.compact("t"), db.vacuum("t", 0)))
+
+
+@register("drop_table", "SELECT 'kept' AS table_name")
+def drop_table(spark, sf_dir):
+    db = Database.temporary(spark)
+    for name in ("kept", "gone"):
+        db.insert_dataframe(name, read(spark, sf_dir, "region"))
+    db.sql("DROP TABLE gone")
+    return db.sql("SHOW TABLES").rows
+
+
+@register("drop_index", "SELECT 's_name' AS column_name")
+def drop_index(spark, sf_dir):
+    db = Database.temporary(spark)
+    db.insert_dataframe("t", read(spark, sf_dir, "supplier"))
+    db.sql("CREATE INDEX a ON t (s_suppkey); CREATE INDEX b ON t (s_name)")
+    db.drop_index("t", "s_suppkey")
+    return spark.createDataFrame([(c,) for c in db.list_indexes("t")], "column_name string")
+
+
+@register("unknown_columns", "SELECT unnest(['distinct', 'filter', 'group', 'order', 'projection']) AS place, 'nope' AS column_name")
+def unknown_columns(spark, sf_dir):
+    """Every place that names a column says which one isn't there."""
+    df, found = read(spark, sf_dir, "nation"), []
+    places = {
+        "distinct": lambda: distinct(df, ["nope"]),
+        "filter": lambda: scan(df, [Filter("nope", P.equals(1))]),
+        "group": lambda: aggregate(df, ["nope"], [A.count()]),
+        "order": lambda: scan(df, order=[("nope", False)]),
+        "projection": lambda: scan(df, projection=["nope"]),
+    }
+    for place, run in places.items():
+        try:
+            run()
+        except ColumnNotFound as e:
+            found.append((place, "nope" if "nope" in str(e) else str(e)))
+    return spark.createDataFrame(found, "place string, column_name string")
+
+
+@register("databases", "SELECT 'SHOW' AS statement, 'the folder' AS said UNION ALL SELECT 'USE', 'To use other, open that database.'")
+def databases(spark, sf_dir):
+    db = Database.temporary(spark)
+    shown = [r[0] for r in db.sql("SHOW DATABASES").rows.collect()]
+    return spark.createDataFrame([("SHOW", "the folder" if shown == [db.data_dir] else str(shown)), ("USE", db.sql("USE other").message)], "statement string, said string")
+
+
+@register("stored_index_reads", "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey BETWEEN 10 AND 60 AND s_acctbal > 1000")
+def stored_index_reads(spark, sf_dir):
+    """Filters on indexed columns of a stored table, which skip files by the manifest's statistics."""
+    db = Database.temporary(spark)
+    db.insert_dataframe("t", read(spark, sf_dir, "supplier"))
+    db.create_index("t", "s_suppkey", sort=True)
+    db.create_index("t", "s_acctbal")
+    return db.search_all("t", [Filter("s_suppkey", P.between(10, 60)), Filter("s_acctbal", P.greater_than(1000.0))]).select("s_suppkey", "s_acctbal")
+
+
+@register("stored_min_max", "SELECT count(*) AS count, min(s_suppkey) AS lo, max(s_suppkey) AS hi, min(s_name) AS first_name FROM supplier")
+def stored_min_max(spark, sf_dir):
+    """COUNT, MIN and MAX of indexed columns, from the manifest."""
+    db = Database.temporary(spark)
+    db.insert_dataframe("t", read(spark, sf_dir, "supplier"))
+    db.create_index("t", "s_suppkey")
+    db.create_index("t", "s_name")
+    return db.aggregate("t", [], [A.count(), A.min_of("s_suppkey", "lo"), A.max_of("s_suppkey", "hi"), A.min_of("s_name", "first_name")])
+
+
 def on_database(name: str, table: str, sql: str, plan: Callable[[Database], DataFrame]) -> None:
     """A query through the direct API, over a registered table ``t``."""
 
