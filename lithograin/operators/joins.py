@@ -97,6 +97,8 @@ class JoinChain:
                 raise QueryError(f"{left} = {right} must name one column of {step.alias} and one of an earlier input")
             other = next(s for s in sides if s not in own)
             a, b = rows[f"`{other}`"], new[f"`{own[0]}`"]
+            if taken := set(rows.columns) & set(new.columns):
+                raise QueryError(f"two inputs give a column {sorted(taken)[0]}; use another alias than {step.alias}")
             rows = rows.join(new, a == b if self.semantics == ANSI else a.eqNullSafe(b), KINDS[how])
             seen = both
         for f in self.residual:

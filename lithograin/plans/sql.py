@@ -239,12 +239,32 @@ def _select(db: Database, sql: str) -> DataFrame:
         for name, view in views.items():
             db.table(name).createOrReplaceTempView(view)
         with case_sensitive(db.spark):
-            return db.spark.sql(text)
+            rows = db.spark.sql(text)
+        return qualified(rows) if _is_star_of_join(tokens) else rows
     finally:
         for view in views.values():
             db.spark.catalog.dropTempView(view)
 
 
+def _is_star_of_join(tokens: list[Token]) -> bool:
+    """SELECT * FROM ... JOIN ..., outside parentheses."""
+    if len(tokens) < 3 or not (tokens[0].is_("SELECT") and tokens[1].is_("*") and tokens[2].is_("FROM")):
+        return False
+    depth = 0
+    for t in tokens:
+        depth += t.is_("(") - t.is_(")")
+        if depth == 0 and t.is_("JOIN"):
+            return True
+    return False
+
+
+def qualified(rows: DataFrame) -> DataFrame:
+    """Columns named ``alias_column`` by the input that each comes from."""
+    output = rows._jdf.queryExecution().analyzed().output()
+    owners = [output.apply(i).qualifier() for i in range(output.size())]
+    return rows.toDF(*(f"{o.last()}_{c}" if o.nonEmpty() else c for o, c in zip(owners, rows.columns, strict=True)))
+
+
 #: Words that stand for a value.
 WORDS = {"TRUE": True, "FALSE": False, "NULL": None}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import sys
 import time
 from collections.abc import Iterable
@@ -10,10 +11,10 @@ from collections.abc import Iterable
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from .config import Settings
+from .config import Settings, ShellSettings
 from .database import Database
 from .errors import EngineError
-from .plans.sql import is_complete, split_statements
+from .plans.sql import is_complete, split_statements, tokenize
 
 WIDEST = 50
 HELP = """.exit, .quit   leave
@@ -42,16 +43,36 @@ def format_rows(names: list[str], rows: Iterable[Iterable]) -> str:
     return "\n".join([line, row(heads), line, *(row(c) for c in cells), line])
 
 
+@contextlib.contextmanager
+def history(settings: ShellSettings):
+    """Lines of earlier sessions, where the terminal library is there; the last ones are kept."""
+    try:
+        import readline
+    except ImportError:
+        yield
+        return
+    with contextlib.suppress(OSError):
+        readline.read_history_file(settings.history_file)
+    readline.set_history_length(settings.max_history_size)
+    try:
+        yield
+    finally:
+        with contextlib.suppress(OSError):
+            readline.write_history_file(settings.history_file)
+
+
 class Shell:
     def __init__(self, db: Database, out=None):
         self.db, self.out = db, out or sys.stdout
+        self.limited = False  # whether the statement at hand has a LIMIT
 
     def say(self, text: str) -> None:
         print(text, file=self.out)
 
     def show(self, df: DataFrame) -> None:
-        """At most ``max_limit`` rows of the settings are shown."""
-        most = self.db.settings.query.max_limit
+        """At most ``default_limit`` rows of the settings are shown; the statement's own LIMIT may ask for more, up to ``max_limit``."""
+        limits = self.db.settings.query
+        most = limits.max_limit if self.limited else limits.default_limit
         rows = df.take(most + 1)
         self.say(format_rows(df.columns, rows[:most]))
         self.say(f"{len(rows)} row(s)" if len(rows) <= most else f"first {most} rows")
@@ -60,6 +81,7 @@ class Shell:
         began = time.monotonic()
         try:
             result = self.db.sql(sql)
+            self.limited = any(t.is_("LIMIT") for t in tokenize(sql))
             if result.rows is not None:
                 self.show(result.rows)
             elif result.message:
@@ -111,6 +133,10 @@ class Shell:
         return ok
 
     def loop(self, read=input) -> None:
+        with history(self.db.settings.repl):
+            self._loop(read)
+
+    def _loop(self, read) -> None:
         buffer = ""
         while True:
             try:

@@ -1,12 +1,13 @@
 import io
 
 import pytest
+from pyspark.sql import SparkSession
 
-from lithograin import Database, Filter, JoinChain
+from lithograin import Database, Filter, JoinChain, Settings
 from lithograin.errors import ColumnNotFound, QueryError
 from lithograin.functions import predicates as P
 from lithograin.plans.sql import is_complete, order_nulls_as_greatest, split_statements
-from lithograin.repl import Shell, format_rows
+from lithograin.repl import Shell, format_rows, main
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +46,50 @@ def test_join_errors(frames):
         JoinChain.of(users, "u").join(posts, "p", "u.id", "u.age").execute()
 
 
+def test_alias_and_column_must_tell_outputs_apart(frames):
+    users, posts, _ = frames
+    one, two = users.withColumnRenamed("name", "b_c"), posts.withColumnRenamed("title", "c")
+    with pytest.raises(QueryError, match="a_b_c"):
+        JoinChain.of(one, "a").join(two, "a_b", "a.id", "a_b.author_id").execute()
+
+
+def test_star_of_a_join_is_qualified(spark, frames):
+    db = Database.temporary(spark)
+    for name, df in zip(("users", "posts"), frames, strict=False):
+        db.register(name, df)
+    rows = db.sql("SELECT * FROM users u JOIN posts ON u.id = posts.author_id ORDER BY posts.id LIMIT 1").rows
+    assert rows.columns == ["u_id", "u_name", "u_age", "posts_id", "posts_author_id", "posts_title"] and rows.first().posts_title == "Post A"
+    assert db.sql("SELECT * FROM users WHERE id IN (SELECT p.author_id FROM posts p JOIN users v ON v.id = p.id)").rows.columns == ["id", "name", "age"]
+
+
+def test_main_runs_a_script(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(SparkSession.Builder, "getOrCreate", lambda self: spark)
+    script, config = tmp_path / "s.sql", tmp_path / "c.json"
+    script.write_text("CREATE TABLE t (id INT);\nINSERT INTO t VALUES (1), (2), (3);\nSELECT * FROM t;\nSELECT * FROM t LIMIT 3;\n.save\n")
+    config.write_text('{"query": {"default_limit": 2, "max_limit": 10}}')
+    assert main([str(script), "--data-dir", f"file://{tmp_path}/db", "--config", str(config)]) == 0
+    said = capsys.readouterr().out
+    assert "first 2 rows" in said and "3 row(s)" in said and "saved" in said
+    assert main([str(script), "--memory"]) == 0 and "needs a folder" in capsys.readouterr().out
+    script.write_text("SELECT nope FROM t;")
+    assert main([str(script), "--data-dir", f"file://{tmp_path}/db"]) == 1
+
+
+def test_history_is_kept(spark, tmp_path):
+    readline = pytest.importorskip("readline")
+    settings = Settings.from_dict({"repl": {"history_file": str(tmp_path / "h"), "max_history_size": 2}})
+    shell = Shell(Database(spark, ":memory:", settings), io.StringIO())
+    readline.clear_history()
+
+    def read(prompt, lines=iter(["SHOW TABLES;", ".tables", ".quit"])):
+        line = next(lines)
+        readline.add_history(line)
+        return line
+
+    shell.loop(read)
+    assert (tmp_path / "h").read_text().split("\n")[-3:] == [".tables", ".quit", ""]
+
+
 def test_statements():
     assert split_statements("a 'x;y' ; /* ; */ b -- ;\n;") == ["a 'x;y'", "/* ; */ b -- ;"]
     assert is_complete("select 1;") and not is_complete("select ';") and not is_complete("select 1")
