@@ -48,30 +48,30 @@ class ColumnStatistics:
     def is_unique(self) -> bool:
         return self.avg_duplicates <= 1.0
 
-    def _range(self, low, high) -> int:
-        numbers = (self.min_value, self.max_value, low, high)
-        if not all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in numbers):
-            return self.total_entries // 4
-        width = self.max_value - self.min_value
-        if width <= 0:
-            return self.total_entries
-        covered = max(0.0, min(high, self.max_value) - max(low, self.min_value))
-        return math.ceil(self.total_entries * covered / width)
+    def _asked(self, op: Operator) -> list[tuple[Any, Any]] | None:
+        """The ranges of values that an operator asks for; None where it isn't about ranges."""
+        ends = {"lt": (self.min_value, None), "le": (self.min_value, None), "gt": (None, self.max_value), "ge": (None, self.max_value)}
+        if op.kind in ("eq", "in"):
+            return [(v, v) for v in op.values]
+        if op.kind == "between":
+            return [op.values]
+        if op.kind in ends:
+            return [tuple(op.value if end is None else end for end in ends[op.kind])]
+        return None
+
+    def _share(self, low, high) -> float:
+        """Part of the rows with values in a range, if the distinct values lie evenly; a quarter where they aren't numbers."""
+        point = 1 / max(self.cardinality, 1)
+        if low == high:
+            return point
+        if not all(isinstance(x, (int, float)) for x in (low, high, self.min_value, self.max_value)):
+            return 0.25
+        width, inside = self.max_value - self.min_value, min(high, self.max_value) - max(low, self.min_value)
+        return max(inside, 0) / width if width else float(inside >= 0)
 
     def estimate_rows(self, op: Operator) -> int:
-        """Rows an operator may keep, for evenly spread values; all rows where nothing is known."""
-        if not self.total_entries:
-            return 0
-        per_key = self.total_entries // max(self.cardinality, 1)
-        match op.kind:
-            case "eq" | "like":
-                return per_key
-            case "in":
-                return len(op.values) * per_key
-            case "between":
-                return self._range(*op.values)
-            case "gt" | "ge":
-                return self._range(op.value, self.max_value)
-            case "lt" | "le":
-                return self._range(self.min_value, op.value)
-        return self.total_entries
+        """Rows that an operator may keep; all rows where nothing is known."""
+        ranges = self._asked(op)
+        if ranges is None:
+            return self.total_entries
+        return min(self.total_entries, math.ceil(round(sum(self._share(*r) for r in ranges) * self.total_entries, 6)))

@@ -146,12 +146,19 @@ class StoredTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/parts/{f['path']}" for f in chosen))
 
+    def _files_for(self, m: dict, filters: Sequence[Filter], semantics: str) -> list[dict]:
+        named = self.spark.createDataFrame([], self.schema(m))
+        tests = [(resolve(named, f.column), f.operator) for f in filters]
+        return [f for f in m["files"] if all(c not in f["stats"] or _may_hold(f["stats"][c], op, semantics) for c, op in tests)]
+
     def rows_for(self, filters: Sequence[Filter], semantics: str = TOTAL) -> DataFrame:
         """The rows of the files that can hold matches of all filters."""
         m = self.manifest()
-        named = self.spark.createDataFrame([], self.schema(m))
-        tests = [(resolve(named, f.column), f.operator) for f in filters]
-        return self.rows(m, [f for f in m["files"] if all(c not in f["stats"] or _may_hold(f["stats"][c], op, semantics) for c, op in tests)])
+        return self.rows(m, self._files_for(m, filters, semantics))
+
+    def rows_within(self, filters: Sequence[Filter], semantics: str = TOTAL) -> int:
+        m = self.manifest()
+        return sum(f["rows"] for f in self._files_for(m, filters, semantics))
 
     def ends(self, column: str) -> tuple[Any, Any, int, int] | None:
         """Least and greatest value, NULLs and rows of an indexed column, from the manifest; None if it doesn't know."""

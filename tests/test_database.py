@@ -110,6 +110,7 @@ def test_indexes_and_top_k(db):
     s = db.column_stats("p", "price")
     assert (s.total_entries, s.cardinality, s.min_value, s.max_value, s.is_unique, s.selectivity) == (10, 10, 10, 100, True, 1.0)
     assert s.estimate_rows(P.between(10, 55)) == 5 and s.estimate_rows(P.equals(1)) == 1 and s.estimate_rows(P.is_null()) == 10
+    assert s.estimate_rows(P.is_in([10, 20, 30])) == 3 and s.estimate_rows(P.less_than(10)) == 1 and s.estimate_rows(P.greater_or_equal(55)) == 5 and s.estimate_rows(P.between(200, 300)) == 0
     db.insert_row("p", (11, 5))
     assert db.rebuild_index("p", "price").min_value == 5
     db.drop_index("p", "price")
@@ -194,6 +195,7 @@ def test_statistics_skip_files(db, spark):
 
     for f, most in ((Filter("id", P.equals(17)), 1), (Filter("name", P.between("n0100", "n0150")), 1), (Filter("id", P.is_in([1, 999, None])), 2), (Filter("id", P.less_than(-5)), 0), (Filter("v", P.greater_than(100)), 5), (Filter("id", P.equals(None)), 0), (Filter("v", P.is_null()), 5), (Filter("id", P.greater_or_equal(900.5)), 1), (Filter("name", P.matches("n09%")), 5)):
         n, found = read([f])
+        assert len(found) <= db.estimate_rows("t", [f]) <= 1000
         assert n <= most, f
         whole = Database.temporary(spark)
         whole.register("t", rows)
