@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: One of these terms rejects a URL.
 STRICT_TERMS = ("casino", "porn", "xxx", "pills", "viagra", "cialis", "escort", "malware", "phishing", "warez")
@@ -35,6 +36,21 @@ class UrlPolicy:
             self.by_host.setdefault(host, []).append((path, verdict))
 
 
+#: Terms of a policy that every task holds.
+MOST_TERMS = 2_000_000
+
+
+def policy_of(terms: DataFrame, most_terms: int = MOST_TERMS, **options) -> UrlPolicy:
+    """A policy from a table of term and strict (boolean), such as a published word list. A-Z are lower-cased; null and empty
+    terms are left out, and a term that is listed as both is strict. More than ``most_terms`` of them are an error."""
+    rows = terms.select("term", "strict").where(F.coalesce(F.octet_length("term"), F.lit(0)) > 0).groupBy("term").agg(F.max(F.coalesce("strict", F.lit(False))).alias("strict"))
+    found = rows.limit(most_terms + 1).collect()
+    if len(found) > most_terms:
+        raise ValueError(f"more than {most_terms} terms")
+    strict = {_lower(r["term"]) for r in found if r["strict"]}
+    return UrlPolicy(strict=tuple(sorted(strict)), soft=tuple(sorted({_lower(r["term"]) for r in found} - strict)), **options)
+
+
 def _lower(text: str) -> str:
     return text.translate(_UPPER)
 
@@ -99,10 +115,11 @@ def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", policy
     still matched against the vocabulary. Repeated rows are judged alike; other columns
     are ignored. Runs in one pass without a shuffle, an Arrow batch at a time.
     """
-    policy = policy or UrlPolicy()
+    shared = pages.sparkSession.sparkContext.broadcast(policy or UrlPolicy())
     schema = f"{key} {pages.schema[key].dataType.simpleString()}, host string, path string, rule string, verdict string, n_hits int, n_strict int, n_soft int, terms string"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        policy = shared.value
         trie = automaton(policy)
         for batch in batches:
             out: list[tuple] = []

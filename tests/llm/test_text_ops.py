@@ -70,6 +70,23 @@ def test_url_filter(spark, clash):
     assert url_filter.filter_urls(df.where("false")).collect() == []
 
 
+def test_policy_of_thousands_of_terms(spark):
+    rng = random.Random(21)
+    letters = "abcdefgh"
+    terms = {"".join(rng.choices(letters, k=rng.randint(2, 5))): rng.random() < 0.1 for _ in range(5000)}
+    rows = [*((t.upper() if rng.random() < 0.2 else t, s) for t, s in terms.items()), (None, True), ("", True), ("ab", None)]
+    policy = url_filter.policy_of(spark.createDataFrame(rows, "term string, strict boolean"))
+    strict, soft = {t for t, s in terms.items() if s}, {*(t for t, s in terms.items() if not s), *(["ab"] if not terms.get("ab") else [])}
+    assert set(policy.strict) == strict and set(policy.soft) == soft
+    urls = [(i, "http://" + "".join(rng.choice(["/", "-", ".", "", "7"]) + "".join(rng.choices(letters + "xyz", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 6)))) for i in range(400)]
+    for r in url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), policy=policy).collect():
+        parts = set(re.findall(r"[a-z0-9]+", dict(urls)[r.page_id]))
+        assert (r.n_strict, r.n_soft) == (len(parts & strict), len(parts & soft))
+        assert r.verdict == ("block" if parts & strict or len(parts & soft) >= 2 else "allow")
+    with pytest.raises(ValueError):
+        url_filter.policy_of(spark.createDataFrame(rows, "term string, strict boolean"), most_terms=10)
+
+
 def brute_license(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     at, labels, score = [], set(), 0.0
