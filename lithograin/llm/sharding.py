@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import BROADCAST_IDS, text_or_empty
 
 #: Sub-buckets of a shard for the slot numbers; a bound, not a data size.
 SLOT_BUCKETS = 512
@@ -31,10 +31,10 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
     return (F.least(*draws) if len(draws) > 1 else draws[0])["shard"]
 
 
-def slots(df: DataFrame, shard: str, order: list[str], buckets: int = SLOT_BUCKETS) -> DataFrame:
+def slots(df: DataFrame, shard: str, order: list[str], shards: int, buckets: int = SLOT_BUCKETS) -> DataFrame:
     """Adds ``slot``: gapless from 0 in each shard, in the order of a hash bucket of
     ``order`` and then ``order``. A shard is numbered in ``buckets`` pieces, each by
-    its own task; the piece sizes (at most shards x buckets rows) give the offsets.
+    its own task; the piece sizes (at most shards x buckets rows, broadcast if these are few) give the offsets.
     """
     part = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sizes = part.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -42,7 +42,7 @@ def slots(df: DataFrame, shard: str, order: list[str], buckets: int = SLOT_BUCKE
     offsets = sizes.select(F.col(shard).alias("_shard"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(*order))
     numbered = part.withColumn("_rn", within)
-    joined = numbered.join(F.broadcast(offsets), (F.col(shard) == F.col("_shard")) & (F.col("_bucket") == F.col("_b")))
+    joined = numbered.join(F.broadcast(offsets) if shards * buckets <= BROADCAST_IDS else offsets, (F.col(shard) == F.col("_shard")) & (F.col("_bucket") == F.col("_b")))
     return joined.withColumn("slot", (F.col("_before") + F.col("_rn") - 1).cast("long")).drop("_bucket", "_rn", "_shard", "_b", "_before")
 
 
@@ -62,4 +62,4 @@ def shard_documents(docs: DataFrame, weights: list[float], grown: list[float] |
         rendezvous(F.col(key), weights).cast("int").alias("shard"),
         (rendezvous(F.col(key), grown) if grown else F.lit(None)).cast("int").alias("grown_shard"),
     )
-    return slots(rows, "shard", [key, "text_crc32", "size"]).select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return slots(rows, "shard", [key, "text_crc32", "size"], len(weights)).select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
