@@ -132,8 +132,9 @@ class Shell:
                 buffer.append(line)
         return ok
 
-    def loop(self, read=input) -> None:
-        with history(self.db.settings.repl):
+    def loop(self, read=input, remember: bool | None = None) -> None:
+        """Until a command ends it. Lines from the terminal are remembered for later sessions."""
+        with history(self.db.settings.repl) if remember or (remember is None and read is input) else contextlib.nullcontext():
             self._loop(read)
 
     def _loop(self, read) -> None:

@@ -86,7 +86,7 @@ def test_history_is_kept(spark, tmp_path):
         readline.add_history(line)
         return line
 
-    shell.loop(read)
+    shell.loop(read, remember=True)
     assert (tmp_path / "h").read_text().split("\n")[-3:] == [".tables", ".quit", ""]
 
 
