@@ -8,11 +8,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +93,31 @@ def few(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+#: Bytes of a batch that is handed to Python, where the session doesn't set it. By rows alone a batch of long texts has no bound.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Bounds the batches of texts that executors hand to Python workers."""
+    if not df.sparkSession._jsparkSession.sessionState().conf().contains(BATCH_KEY):
+        df.sparkSession.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
+_kept: dict[str, object] = {}
+
+
+def kept_by_worker(owner: str, make: Callable[[], object] = lambda: None) -> object:
+    """What a Python worker keeps for later tasks of one operator. Workers outlive tasks; one that turns to another
+    operator gives back what the last one kept, so that a pipeline's stages don't add up in its memory."""
+    if owner not in _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+        _kept[owner] = make()
+    return _kept[owner]
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, TextBatch, few, materialize, mix64, release, text_or_empty, text_pieces
+from .common import BROADCAST_IDS, TextBatch, bound_batches, few, kept_by_worker, materialize, mix64, release, text_or_empty, text_pieces
 from .components import connected_components
 
 
@@ -110,6 +110,7 @@ def sketches(docs: DataFrame, key: str, text: str, config: NearDupConfig) -> Dat
     names = [key, "n_shingles", "set_hi", "set_lo", "sig"]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("near duplicates")
         for batch in batches:
             for piece in text_pieces(batch, 1, max_bytes=1 << 19):
                 sets, sizes = shingle_sets(TextBatch(piece.column(1)), config.words)
@@ -129,6 +130,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, config: Near
     kind = docs.schema[key].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("near duplicates")
         for batch in batches:
             for piece in text_pieces(batch, 1, max_bytes=1 << 19):
                 values, sizes = shingle_sets(TextBatch(piece.column(1)), config.words)
@@ -247,11 +249,15 @@ def _likely_in_block(pdf: pd.DataFrame, config: NearDupConfig) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-#: What deals blocks to tasks. Without it the join by bucket would leave all blocks of a bucket in one task.
 BLOCK_KEY = ("bucket", "p", "q")
 MOST_TASKS = 1 << 14
 
 
+def by_block(rows: DataFrame, tasks: int):
+    """Rows grouped by block and dealt by it: a join by bucket before would else leave all blocks of a bucket in one task."""
+    return rows.repartition(tasks, *BLOCK_KEY).groupBy(*BLOCK_KEY)
+
+
 def joining_links(docs: DataFrame, members: DataFrame, nodes: DataFrame, key: str, text: str, config: NearDupConfig) -> DataFrame:
     """u, v: verified links between components that share a bucket; in each block only those
     that join what the block hasn't joined yet. ``members``: what ``open_members`` gives."""
@@ -259,7 +265,6 @@ def joining_links(docs: DataFrame, members: DataFrame, nodes: DataFrame, key: st
     blocks = blocks_of(members, nodes, config)
     # About a block a task: its rows are few bytes and much work, so bytes don't tell how many tasks are needed.
     tasks = min(MOST_TASKS, blocks.count() // config.block + 1)
-    blocks = blocks.repartition(tasks, *BLOCK_KEY)
     names = ["bucket", "band", "id", "component", "part", "p", "q"]
 
     def involved(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -267,7 +272,8 @@ def joining_links(docs: DataFrame, members: DataFrame, nodes: DataFrame, key: st
         return pdf.loc[pdf.index[np.union1d(i, j)], names]
 
     schema = f"bucket long, band int, id {kind}, component {kind}, part int, p int, q int"
-    asked = materialize(blocks.groupBy(*BLOCK_KEY).applyInPandas(involved, schema), "asked")
+    # Most tasks give a few rows: they are put together before they are written.
+    asked = materialize(by_block(blocks, tasks).applyInPandas(involved, schema).hint("rebalance"), "asked")
     sets = materialize(full_sets(docs, asked.select("id").distinct(), key, text, config), "block-sets")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -294,8 +300,8 @@ def joining_links(docs: DataFrame, members: DataFrame, nodes: DataFrame, key: st
                 parent[max(x, y)] = min(x, y)
         return pd.DataFrame(links, columns=["u", "v"]).astype(pdf["id"].dtype)
 
-    whole = asked.join(nodes.select("id", "n", "sig"), "id").join(sets, "id").repartition(tasks, *BLOCK_KEY)
-    found = materialize(whole.groupBy(*BLOCK_KEY).applyInPandas(verify, f"u {kind}, v {kind}"), "joining")
+    whole = asked.join(nodes.select("id", "n", "sig"), "id").join(sets, "id")
+    found = materialize(by_block(whole, tasks).applyInPandas(verify, f"u {kind}, v {kind}").hint("rebalance"), "joining")
     release(asked, sets)
     return found
 
@@ -310,6 +316,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", co
     table gives an empty result; other columns are ignored. The key must be an integer.
     """
     config = config or NearDupConfig()
+    bound_batches(docs)
     sketch = materialize(sketches(docs, key, text, config), "sketches")
     best = F.min(F.struct(F.col(key).alias("id"), F.col("n_shingles").alias("n"), "sig")).alias("best")
     nodes = materialize(sketch.where((F.col("n_shingles") > 0) & F.col(key).isNotNull()).groupBy("set_hi", "set_lo").agg(best).select("set_hi", "set_lo", "best.*"), "nodes")
@@ -328,12 +335,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", co
     while outside:
         more = leader_links(docs, next_leaders(met, config), near, key, text, config)
         if not more.isEmpty():
-            links = materialize(links.unionByName(more), "links")
+            before, links = links, materialize(links.unionByName(more), "links")
             component = connected_components(links)
-            release(met)
+            release(before, met)
             met = materialize(open_members(others, component), "open")
-        before, outside = outside, _outside(met, config)
-        if outside * 4 > before * 3:
+        release(more)
+        last, outside = outside, _outside(met, config)
+        if outside * 4 > last * 3:
             break  # leaders join little here: the rest is compared in blocks
     more = joining_links(docs, met, near, key, text, config)
     if not more.isEmpty():

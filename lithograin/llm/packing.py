@@ -21,15 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, text_pieces
+from .common import bound_batches, kept_by_worker, text_or_empty, text_pieces
 
 WINDOW = 1024
 #: The separator id that ends every document.
 END_ID = 0
 #: Open windows of a task before some are closed early; bounds a task's memory.
 OPEN_LIMIT = 16384
-#: Chunks whose ids a Python worker remembers, and bytes of each; they bound its memory.
-CACHE_LIMIT = 1_000_000
+#: Chunks of each of two generations whose ids a Python worker remembers, and bytes of a chunk; they bound its memory.
+CACHE_LIMIT = 200_000
 CACHE_BYTES = 64
 #: Sequence ids of task k start at k << TASK_BITS.
 TASK_BITS = 38
@@ -62,7 +62,8 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}  # what was asked for lately; the older ones are forgotten together
+        self.old: dict[bytes, bytes] = {}
         self.limit = cache_limit
         (self.line_break,) = self._whole(["\n"])[0]
 
@@ -123,15 +124,19 @@ class ChunkTokenizer:
         if not len(chunks):
             return np.zeros(0, dtype="<u4"), np.zeros(len(first), dtype=np.int64)
         coded = chunks.dictionary_encode()
-        distinct, cache = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.cache
-        ids = list(map(cache.get, distinct))
-        new = [i for i, found in enumerate(ids) if found is None]
-        if len(cache) + len(new) > self.limit:
-            cache.clear()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.young.get, distinct))
+        missing = [i for i, found in enumerate(ids) if found is None]
+        if len(self.young) + len(missing) > self.limit:
+            self.young, self.old = {}, self.young
+        for i in missing:
+            ids[i] = self.old.get(distinct[i])
+        new = [i for i in missing if ids[i] is None]
         for i, made in zip(new, self._chunk_ids([distinct[i] for i in new]), strict=True):
             ids[i] = made
+        for i in missing:
             if len(distinct[i]) <= CACHE_BYTES:
-                cache[distinct[i]] = made
+                self.young[distinct[i]] = ids[i]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         joined = np.frombuffer(b"".join(ids), dtype="<u4")
         which = coded.indices.to_numpy()
@@ -153,14 +158,9 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[begin : begin + int(bounds[-1])], bounds
 
 
-_tokenizers: dict[str, ChunkTokenizer] = {}
-
-
 def worker_tokenizer(path: str) -> ChunkTokenizer:
     """One per worker process, so that later tasks of a worker find the chunks of earlier ones."""
-    if path not in _tokenizers:
-        _tokenizers[path] = ChunkTokenizer(path)
-    return _tokenizers[path]
+    return kept_by_worker(f"packing {path}", lambda: ChunkTokenizer(path))
 
 
 class LevelPacker:
@@ -270,6 +270,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", te
     occur. An empty table gives no pieces. Other columns are ignored. ``sequence_id`` is
     unique over all tasks; a task that is run again packs the same rows alike.
     """
+    bound_batches(docs)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     end = np.asarray([end_id], dtype="<u4").tobytes()
@@ -301,12 +302,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", te
         for batch in batches:
             encoder = encoder or worker_tokenizer(tokenizer_path)
             batch_kind = batch.schema.field(0).type
-            for piece in text_pieces(batch, 1, max_bytes=1 << 21, max_rows=4096):
+            for piece in text_pieces(batch, 1, max_bytes=1 << 20, max_rows=4096):
                 ids, first = encoder.encode(piece.column(1))
                 data, cuts = ids.tobytes(), (4 * first).tolist()
                 for k, a, b in zip(piece.column(0).to_pylist(), cuts[:-1], cuts[1:], strict=True):
                     packer.add(k, data[a:b] + end)
-            yield from rows()
+                yield from rows()
         packer.finish()
         if batch_kind is not None:
             yield from rows()

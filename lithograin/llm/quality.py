@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, TextBatch, text_or_empty
+from .common import SPACE, TextBatch, bound_batches, kept_by_worker, text_or_empty
 
 #: Kinds of bytes: letters lower, upper, non-ASCII, digits, white space, sentence marks, other marks by group.
 KINDS = 10
@@ -348,6 +348,7 @@ def in_fold(key: str, folds: int, fold: int):
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", config: QualityConfig | None = None) -> QualityModel:
     """Fits on at most ``max_docs_per_class`` documents of each label among the rows of ``labels``."""
     config = config or QualityConfig()
+    bound_batches(docs)
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     totals = {r["_label"]: r["n"] for r in marked.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = [marked.where(F.col("_label") == y).orderBy(F.xxhash64("_key"), "_key").limit(config.max_docs_per_class) for y in (0, 1)]
@@ -357,6 +358,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     sample = sample.withColumn("_lines", F.sum("_lines").over(by_hash)).where(F.col("_lines") <= config.max_lines_per_class)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("quality")
         for batch in batches:
             for at, to, _ in line_pieces(batch.column(1)):
                 piece = batch.slice(at, to - at)
@@ -378,9 +380,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
 
 def score_quality(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score: a row per input row, from the text alone. Null and empty texts are one empty line."""
+    bound_batches(docs)
     kind = docs.schema[key].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("quality")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score_texts(batch.column(1)))], names=[key, "score"])
             pa.default_memory_pool().release_unused()
@@ -393,6 +397,7 @@ def classify_lines(docs: DataFrame, model: QualityModel, key: str = "doc_id", te
     kind = docs.schema[key].dataType.simpleString()
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("quality")
         for batch in batches:
             for at, to, is_long in line_pieces(batch.column(1)):
                 if is_long:
@@ -428,10 +433,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
 def keep_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
     """The rows with a score of ``THRESHOLD`` or more, all their columns, in one pass without a shuffle."""
+    bound_batches(docs)
     schema = docs.schema
     at = schema.names.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("quality")
         for batch in batches:
             yield batch.filter(pa.array(model.score_texts(batch.column(at)) >= THRESHOLD))
             pa.default_memory_pool().release_unused()

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql.functions import spark_partition_id
 
 from lithograin.llm import minhash
 from lithograin.llm.common import TextBatch
@@ -70,6 +71,32 @@ def test_near_duplicates_against_brute_force(make, clash, config):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == brute(rows)
 
 
+def test_blocks_of_a_bucket_are_dealt_to_many_tasks(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = 60
+        members = spark.range(n).selectExpr("id DIV 1000000 AS bucket", "0 AS band", "id", "id AS component", "0L AS top", f"{n - 1}L AS n_out")
+        nodes = spark.range(n).selectExpr("id", "5L AS n", "cast(repeat('x', 256) AS binary) AS sig")
+        blocks = minhash.blocks_of(members, nodes, NearDupConfig(block=4))
+        dealt = minhash.by_block(blocks, 8).applyInPandas(lambda pdf: pdf[["p", "q"]].iloc[:1].assign(rows=len(pdf)), "p int, q int, rows long")
+        assert "hashpartitioning(bucket" in dealt._jdf.queryExecution().executedPlan().toString() and "p#" in dealt._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInPandas")[1].split("hashpartitioning(")[1].split(")")[0]
+        found = dealt.select("*", spark_partition_id().alias("task")).collect()
+        assert len({(r.p, r.q) for r in found}) == len(found) > 50 and len({r.task for r in found}) == 8
+        assert max(r.rows for r in found) <= 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bands_of_one_row(make):
+    # Buckets of documents that are alike but not linked, so blocks have to find the links.
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words)] + [" ".join([*words[: 40 * k], *(f"x{k}_{i}" for i in range(60)), *words[40 * k + 60 :]]) for k in range(1, 8)]
+    rows = [(100 - i, t) for i, t in enumerate(texts)]
+    config = NearDupConfig(bands=8, rows=1, percent=55, block=2)
+    found = minhash.near_duplicates(make(rows), config=config).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == brute(rows, 55)
+
+
 def test_odd_rows(odd, none):
     found = minhash.near_duplicates(odd).collect()
     assert len(found) == odd.count()
