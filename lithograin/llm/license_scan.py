@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM, TextBatch, hash_words, text_or_empty, text_pieces
+from .common import NON_ALNUM, TextBatch, bound_batches, hash_words, text_or_empty, text_pieces
 
 #: Phrase and label.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -172,15 +172,15 @@ def wrapped_matches(h: np.ndarray, first: np.ndarray, line_first: np.ndarray, t:
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT) -> DataFrame:
-    """key, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks, wrapped, all_labels: a row per input row.
+    """key, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks, wrapped: a row per input row.
 
-    A block is a line of the text. ``score`` is the best containment of a matched template,
+    A block is a line of the text, or a window of words that goes over line breaks. ``score`` is the best containment of a matched template,
     1 where a phrase stands, else 0. ``blocks`` lists (label, first word, words, containment)
-    of every matched block and template. ``wrapped`` lists the same of matches that go over line
-    breaks; ``all_labels`` are ``labels`` and theirs. A null or empty text has no words, empty labels, null places
+    of every matched line and template, ``wrapped`` those of windows. A null or empty text has no words, empty labels, null places
     and score 0. Repeated rows are judged alike; other columns are ignored. Two passes
     over the texts; only counts of template words are shuffled.
     """
+    bound_batches(docs)
     words = sorted({w for _, ws in template_words(templates) for w in ws})
     ordered = ordered_templates(template_frequencies(docs, words, text), templates, containment)
     prefix_of: dict[int, list[int]] = {}
@@ -191,8 +191,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
     phrase_hashes = [(hash_words(p.split(), NON_ALNUM), label) for p, label in phrases]
     kind = docs.schema[key].dataType.simpleString()
     found = "array<struct<label:string,first_word:long,n_words:long,containment:double>>"
-    schema = f"{key} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks {found}, wrapped {found}, all_labels string"
-    names = [key, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks", "wrapped", "all_labels"]
+    schema = f"{key} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks {found}, wrapped {found}"
+    names = [key, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks", "wrapped"]
     block_type = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64())]))
 
     def part(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
@@ -231,15 +231,16 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
                 score[d] = max(score[d], share)
                 blocks[d].append({"label": ordered[k].label, "first_word": int(line_first[b] - first[d]), "n_words": int(line_first[b + 1] - line_first[b]), "containment": share})
         wrapped: list[list[dict]] = [[] for _ in range(n)]
-        every = [set(x) for x in labels]
         for k in sorted({k for w in np.unique(h[at]) for k in prefix_of[int(w)]}):
             for begin, size, shared in wrapped_matches(h, first, line_first, ordered[k]):
                 d = int(np.searchsorted(first, begin, side="right") - 1)
-                every[d].add(ordered[k].label)
-                wrapped[d].append({"label": ordered[k].label, "first_word": int(begin - first[d]), "n_words": size, "containment": shared / len(ordered[k].tokens)})
+                share = shared / len(ordered[k].tokens)
+                labels[d].add(ordered[k].label)
+                score[d] = max(score[d], share)
+                wrapped[d].append({"label": ordered[k].label, "first_word": int(begin - first[d]), "n_words": size, "containment": share})
         none = n_base == 0
         return pa.RecordBatch.from_arrays(
-            [keys, pa.array(batch.counts.astype(np.int64)), pa.array(n_base), pa.array(low, mask=none), pa.array(high, mask=none), pa.array(base), pa.array([",".join(sorted(x)) for x in labels], pa.string()), pa.array(score), pa.array(blocks, block_type), pa.array(wrapped, block_type), pa.array([",".join(sorted(x)) for x in every], pa.string())],
+            [keys, pa.array(batch.counts.astype(np.int64)), pa.array(n_base), pa.array(low, mask=none), pa.array(high, mask=none), pa.array(base), pa.array([",".join(sorted(x)) for x in labels], pa.string()), pa.array(score), pa.array(blocks, block_type), pa.array(wrapped, block_type)],
             names=names,
         )
 

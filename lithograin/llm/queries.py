@@ -56,7 +56,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
-    return found.withColumn("n_blocks", F.size("blocks").cast("long")).drop("blocks", "wrapped", "all_labels")  # what the SQL has: lines only
+    return found.withColumn("n_blocks", F.size("blocks").cast("long")).drop("blocks", "wrapped")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,8 @@ FROM windows WHERE len(inside) >= ceil(size * {decontam.MIN_SHARE} - 1e-9) GROUP
 
 
 def _license_sql() -> str:
-    templates = ", ".join(f"{{'label': '{label}', 'words': {words}}}" for label, words in license_scan.template_words())
+    sizes = [(t.need, t.span) for t in license_scan.ordered_templates({})]
+    templates = ", ".join(f"{{'tid': {k}, 'label': '{label}', 'words': {words}, 'need': {need}, 'span': {span}}}" for k, ((label, words), (need, span)) in enumerate(zip(license_scan.template_words(), sizes, strict=True)))
     places, labelled = [], []
     for phrase, label in license_scan.PHRASES:
         words = phrase.split()
@@ -175,11 +176,27 @@ WITH t AS (SELECT unnest([{templates}], recursive := true)),
 d AS (SELECT doc_id, {ASCII_LOWER} AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, {ALNUM_WORDS}) AS words FROM d),
 b AS (SELECT doc_id, words, list_concat({", ".join(places)}) AS places, [x FOR x IN [{", ".join(labelled)}] IF x IS NOT NULL] AS base FROM w),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(line, {ALNUM_WORDS})) AS own FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
-m AS (
-  SELECT doc_id, label, len(list_intersect(own, t.words)) / len(t.words) AS share
-  FROM lines, t WHERE len(list_intersect(own, t.words)) >= ceil({license_scan.CONTAINMENT} * len(t.words) - 1e-9)
-), g AS (SELECT doc_id, list(label) AS found, max(share) AS best, count(*) AS n_blocks FROM m GROUP BY doc_id)
+lines AS (
+  SELECT doc_id, line_no, regexp_extract_all(line, {ALNUM_WORDS}) AS words
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM d)
+), m AS (
+  SELECT doc_id, label, len(list_intersect(list_distinct(lines.words), t.words)) / len(t.words) AS share
+  FROM lines, t WHERE len(list_intersect(list_distinct(lines.words), t.words)) >= need
+), placed AS (
+  SELECT doc_id, line_no, word, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, nth) AS pos
+  FROM (SELECT doc_id, line_no, unnest(words) AS word, unnest(range(len(words))) AS nth FROM lines)
+), own AS (
+  SELECT doc_id, line_no, word, pos, tid, label, need, span, len(t.words) AS size
+  FROM placed JOIN (SELECT *, unnest(words) AS own_word FROM t) t ON word = own_word
+  QUALIFY max(line_no) OVER (PARTITION BY doc_id, tid) > min(line_no) OVER (PARTITION BY doc_id, tid)
+), wrapped AS (
+  SELECT a.doc_id, a.label, count(DISTINCT b.word) / any_value(a.size) AS share
+  FROM own a JOIN own b ON a.doc_id = b.doc_id AND a.tid = b.tid AND b.pos BETWEEN a.pos AND a.pos + a.span - 1
+  GROUP BY a.doc_id, a.tid, a.label, a.pos, a.line_no, a.need HAVING count(DISTINCT b.word) >= a.need AND arg_max(b.line_no, b.pos) <> a.line_no
+), g AS (
+  SELECT doc_id, list(label) AS found, max(share) AS best, count(*) FILTER (WHERE kind = 'line') AS n_blocks
+  FROM (SELECT *, 'line' AS kind FROM m UNION ALL SELECT *, 'window' FROM wrapped) GROUP BY doc_id
+)
 SELECT b.doc_id, len(words) AS n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
        array_to_string(list_sort(base), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(base, coalesce(found, [])))), ',') AS labels,

@@ -104,6 +104,8 @@ def brute_license(text):
             if len(own & set(t)) >= 0.8 * len(t) - 1e-9:
                 labels.add(label)
                 score = max(score, len(own & set(t)) / len(t))
+    wrapped = brute_wrapped(text)
+    labels, score = labels | set(wrapped), max([score, *wrapped.values()])
     return (len(words), len(at), min(at, default=None), max(at, default=None), base, ",".join(sorted(labels)), round(score, 9))
 
 
@@ -127,19 +129,19 @@ def test_license_scan_against_brute_force(make, none, clash):
 
 
 def brute_wrapped(text):
-    """Labels of templates that some window of words over a line break holds enough of."""
+    """Labels of templates that some window of words over a line break holds enough of, and the largest share."""
     words, lines = [], []
     for i, line in enumerate((text or "").translate(LOWER).split("\n")):
         found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line)
         words += found
         lines += [i] * len(found)
-    labels = set()
+    labels = {}
     for (label, distinct), (_, notice) in zip(license_scan.template_words(), license_scan.TEMPLATES, strict=True):
         span = math.ceil(len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", notice.translate(LOWER))) / 0.8)
         for i in range(len(words)):
             at = [k for k in range(i, min(len(words), i + span)) if words[k] in distinct]
             if at and at[0] == i and lines[at[-1]] != lines[i] and len({words[k] for k in at}) >= 0.8 * len(distinct) - 1e-9:
-                labels.add(label)
+                labels[label] = max(labels.get(label, 0), len({words[k] for k in at}) / len(distinct))
     return labels
 
 
@@ -160,10 +162,10 @@ def test_license_scan_of_wrapped_notices(make):
     rows = {r.doc_id: r for r in license_scan.scan_licenses(make(texts)).collect()}
     assert len(rows) == len(texts)
     for i, r in rows.items():
-        assert {b.label for b in r.wrapped} == brute_wrapped(texts[i]), texts[i][:200]
-        assert set(r.all_labels.split(",")) - {""} == brute_wrapped(texts[i]) | (set(r.labels.split(",")) - {""})
+        assert {b.label for b in r.wrapped} == set(brute_wrapped(texts[i])), texts[i][:200]
+        assert (r.labels, round(r.score, 9)) == brute_license(texts[i])[5:]
         assert all(0 <= b.first_word and b.first_word + b.n_words <= r.n_words and b.containment >= 0.8 - 1e-9 for b in r.wrapped)
-    assert len(whole) > 20 and all(label in rows[i].all_labels.split(",") for i, label in whole.items())
+    assert len(whole) > 20 and all(label in rows[i].labels.split(",") for i, label in whole.items())
 
 
 def test_line_dedup_against_brute_force(make, none, clash):
