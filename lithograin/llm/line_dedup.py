@@ -12,11 +12,16 @@ whatever site. For that, the smallest and the largest key of a line are enough.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, text_or_empty
+from .common import ASCII_SPACE, bound_batches, kept_by_worker, materialize, release, text_or_empty
 
 #: A line on this many sites is boilerplate.
 MIN_SITES = 8
@@ -26,16 +31,28 @@ LONG_WORDS = 50
 PRECISION = 8
 #: A line on the threshold is lost by the sketch with this chance at most.
 COLLIDE = 1e-12
+#: Boilerplate lines that every task holds (16 bytes each); more are joined.
+BROADCAST_LINES = 1 << 21
 #: Names of columns that stand beside the caller's for a while.
-OWNER, DROPPED, LEFT = "__lithograin_owner", "__lithograin_dropped", "__lithograin_left"
+ROW, OWNER, DROPPED, HASHES = "__lithograin_row", "__lithograin_owner", "__lithograin_dropped", "__lithograin_hashes"
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def trimmed(line: Column) -> Column:
+    """Without ASCII white space at its ends, so that line breaks of two characters make no difference."""
+    return F.btrim(line, F.lit(ASCII_SPACE))
+
+
 def line_hash(line: Column) -> Column:
-    return F.xxhash64(F.trim(line))
+    """Null for a blank line."""
+    return F.when(trimmed(line) != "", F.xxhash64(trimmed(line)))
+
+
+def line_hashes(text: Column) -> Column:
+    return F.transform(lines_of(text), line_hash)
 
 
 def site_spread(occurrences: DataFrame, min_sites: int, precision: int = PRECISION) -> DataFrame:
@@ -90,20 +107,23 @@ def least_filled(sites: int, m: int) -> int:
 
 def boilerplate_lines(docs: DataFrame, key: str, text: str, site: str, min_sites: int, precision: int = PRECISION) -> DataFrame:
     """line, keeper: the hash of every line on ``min_sites`` sites or more. Empty lines never count."""
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.explode(F.array_distinct(F.transform(lines_of(text_or_empty(text)), lambda x: F.when(F.trim(x) != "", line_hash(x))))).alias("line")).where(F.col("line").isNotNull())
+    lines = F.explode(F.array_distinct(line_hashes(text_or_empty(text)))).alias("line")
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), lines).where(F.col("line").isNotNull())
     spread = materialize(site_spread(rows, min_sites, precision), "spread")
     _, high = near_band(min_sites, precision)
     near = spread.where(F.col("estimate") <= high).select("line")
     exact = rows.join(near, "line", "left_semi").groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites).select("line")
     settled = spread.where(F.col("estimate") > high).select("line", "keeper")
-    return settled.unionByName(spread.join(exact, "line", "left_semi").select("line", "keeper"))
+    found = materialize(settled.unionByName(spread.join(exact, "line", "left_semi").select("line", "keeper")), "lines")
+    release(spread)
+    return found
 
 
 def repeated_long_lines(docs: DataFrame, key: str, text: str, long_words: int) -> DataFrame:
     """line, keeper: the hash of every line of more than ``long_words`` words in two documents or more."""
 
     def is_long(line: Column) -> Column:
-        return (F.length(line) > 2 * long_words) & (F.size(F.array_remove(F.split(line, r"\s+"), "")) > long_words)
+        return (F.length(line) > 2 * long_words) & (F.size(F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")) > long_words)
 
     hashes = F.array_distinct(F.transform(F.filter(lines_of(text_or_empty(text)), is_long), line_hash))
     rows = docs.select(F.col(key).alias("key"), F.explode(hashes).alias("line"))
@@ -111,25 +131,80 @@ def repeated_long_lines(docs: DataFrame, key: str, text: str, long_words: int) -
     return spread.where((F.col("keeper") != F.col("last")) | (F.col("keyless") & F.col("keeper").isNotNull())).select("line", "keeper")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, precision: int = PRECISION, long_words: int | None = LONG_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, precision: int = PRECISION, long_words: int | None = LONG_WORDS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """All input columns with ``text`` cleaned, plus n_lines and n_removed, a row per input row.
 
     A line (without white space at its ends) on ``min_sites`` sites or more, or one of more than
     ``long_words`` words (None: no such rule) in two documents or more, is removed
     from every document but the one with the smallest key that has it. A null site is a
-    site of its own; a null text becomes empty; empty lines stay. Rows that repeat a key are cleaned alike.
+    site of its own; a null text becomes empty; blank lines stay. Rows that repeat a key are one document
+    to the rules and are cleaned each for itself; a null key is the one that keeps a line only where no row with a key has it. An empty table gives an empty result.
     Columns named n_lines or n_removed are replaced.
     """
-    bad = boilerplate_lines(docs, key, text, site, min_sites, precision)
+    bad = wide = boilerplate_lines(docs, key, text, site, min_sites, precision)
     if long_words is not None:
         bad = bad.unionByName(repeated_long_lines(docs, key, text, long_words)).dropDuplicates(["line"])
     found = materialize(bad, "boilerplate")
-    body = text_or_empty(text)
-    pairs = docs.select(F.col(key), F.explode(F.array_distinct(F.transform(lines_of(body), line_hash))).alias("line"))
-    drops = pairs.join(found, "line").where(~F.col("keeper").eqNullSafe(F.col(key))).groupBy(F.col(key).alias(OWNER)).agg(F.collect_set("line").alias(DROPPED))
-    joined = docs.drop("n_lines", "n_removed").join(drops, F.col(key).eqNullSafe(F.col(OWNER)), "left")
-    lines = lines_of(body)
-    left = F.when(F.col(DROPPED).isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(DROPPED, line_hash(x))))
-    out = joined.withColumn(LEFT, left)
-    cleaned = F.when(F.col(DROPPED).isNull(), body).otherwise(F.array_join(LEFT, "\n"))
-    return out.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": (F.size(lines) - F.size(LEFT)).cast("long")}).withColumn(text, cleaned).drop(LEFT, DROPPED, OWNER)
+    release(wide)
+    rows = docs.drop("n_lines", "n_removed").withColumn(text, text_or_empty(text))
+    if found.count() <= broadcast_lines:
+        cleaned = _clean_in_place(rows, found, key, text)
+        release(found)
+        return cleaned
+    return _clean_by_join(rows, found, key, text)
+
+
+def _clean_in_place(rows: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """One pass without a shuffle: every task holds the boilerplate lines, which have been counted."""
+    bound_batches(rows)
+    table = found.orderBy("line").toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast((table.column("line").to_numpy(), table.column("keeper").combine_chunks()))
+    names = rows.columns
+    at, own = names.index(text), names.index(key)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("line dedup")
+        bad, keepers = shared.value
+        for batch in batches:
+            hashes = batch.column(len(names))
+            flat = hashes.flatten()
+            n_lines = np.diff(hashes.offsets.to_numpy())
+            doc = np.repeat(np.arange(batch.num_rows), n_lines)
+            values = pc.fill_null(flat, 0).to_numpy()
+            place = np.minimum(np.searchsorted(bad, values), max(len(bad) - 1, 0))
+            hit = np.flatnonzero((bad[place] == values) & pc.is_valid(flat).to_numpy(zero_copy_only=False)) if len(bad) else np.zeros(0, np.int64)
+            keys = batch.column(own).take(pa.array(doc[hit]))
+            keeper = keepers.take(pa.array(place[hit])).cast(keys.type)
+            other = pc.and_not(pc.fill_null(pc.not_equal(keeper, keys), True), pc.and_(pc.is_null(keeper), pc.is_null(keys)))
+            gone = hit[other.to_numpy(zero_copy_only=False)]
+            n_removed = np.bincount(doc[gone], minlength=batch.num_rows)
+            texts = batch.column(at)
+            changed = n_removed > 0
+            if changed.any():
+                stays = np.ones(len(doc), dtype=bool)
+                stays[gone] = False
+                first = np.concatenate([[0], np.cumsum(n_lines)])
+                new = []
+                for d in np.flatnonzero(changed):
+                    lines = texts[int(d)].as_py().split("\n")
+                    new.append("\n".join(x for x, stay in zip(lines, stays[first[d] : first[d + 1]], strict=True) if stay))
+                texts = pc.replace_with_mask(texts, pa.array(changed), pa.array(new, texts.type))
+            columns = [texts if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines.astype(np.int64)), pa.array(n_removed.astype(np.int64))], names=[*names, "n_lines", "n_removed"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return rows.withColumn(HASHES, line_hashes(F.col(text))).mapInArrow(clean, schema)
+
+
+def _clean_by_join(rows: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """For more lines than a task should hold: rows get numbers that last, and a row's lines meet the
+    boilerplate lines by a join."""
+    numbered = materialize(rows.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    pairs = numbered.select(F.col(ROW).alias(OWNER), F.col(key).alias("key"), F.explode(F.array_distinct(line_hashes(F.col(text)))).alias("line"))
+    drops = pairs.join(found, "line").where(~F.col("keeper").eqNullSafe(F.col("key"))).groupBy(OWNER).agg(F.collect_set("line").alias(DROPPED))
+    joined = numbered.join(drops, F.col(ROW) == F.col(OWNER), "left")
+    lines = lines_of(F.col(text))
+    left = F.when(F.col(DROPPED).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(DROPPED, line_hash(x)), F.lit(False))))
+    out = joined.withColumn(HASHES, left)
+    cleaned = F.when(F.col(DROPPED).isNull(), F.col(text)).otherwise(F.array_join(HASHES, "\n"))
+    return out.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": (F.size(lines) - F.size(HASHES)).cast("long")}).withColumn(text, cleaned).drop(HASHES, DROPPED, OWNER, ROW)

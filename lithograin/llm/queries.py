@@ -19,7 +19,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), long_words=None)  # as the SQL: 8 sites at any length
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", "text")
 
 
@@ -78,15 +78,18 @@ def _url_terms_sql() -> str:
     return f"({strict})::INT AS n_strict, ({soft})::INT AS n_soft, concat_ws(',', {listed}) AS terms"
 
 
+ASCII_SPACE_SQL = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+
 OP2_SQL = f"""
 WITH lines AS (
-  SELECT doc_id, pos, source, line, trim(line, ' ') AS norm
+  SELECT doc_id, pos, source, line, trim(line, {ASCII_SPACE_SQL}) AS norm
   FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
         FROM documents)
 ), bad AS (
   SELECT norm, min(doc_id) AS keeper FROM lines WHERE norm <> ''
   GROUP BY norm HAVING count(DISTINCT coalesce(source, '')) >= {line_dedup.MIN_SITES}
+    OR (count(DISTINCT doc_id) >= 2 AND len(regexp_extract_all(norm, '[^\\x20\\x09-\\x0D]+')) > {line_dedup.LONG_WORDS})
 ), marked AS (
   SELECT l.doc_id, l.pos, l.line, b.norm IS NOT NULL AS removed
   FROM lines l LEFT JOIN bad b ON l.norm = b.norm AND b.keeper <> l.doc_id

@@ -20,6 +20,7 @@ from lithograin.llm.common import NON_ALNUM, SPACE, TextBatch, hash_words, text_
 from tests.llm.conftest import ODD
 
 LOWER = {c: c + 32 for c in range(65, 91)}
+BLANKS = " \t\n\x0b\x0c\r"
 TEXT = st.text(alphabet="abAB09 \n\t.- é文<|", max_size=30)
 
 
@@ -176,22 +177,22 @@ def test_line_dedup_against_brute_force(make, none, clash):
         lines = [f"own line {i} {k}" for k in range(rng.randint(0, 3))] + rng.choices(common[: 1 + i % 6], k=rng.randint(0, 3)) + [""] * (i % 2)
         rng.shuffle(lines)
         site = f"site{rng.randint(0, 3 + i % 12)}" if i % 17 else None
-        rows.append((i, "\n".join(f" {x} " if rng.random() < 0.2 else x for x in lines), site))
+        rows.append((i, "\n".join(rng.choice([" {} ", "{}\r", "\t{}", "{}", "{}", "{}"]).format(x) for x in lines), site))
     rows += [(300, None, "site1"), (301, "boilerplate line 0", "site2"), (301, "boilerplate line 0", "site2"), (None, "boilerplate line 0\nx", "site3")]
     sites, keeper = defaultdict(set), {}
     for key, text, site in rows:
-        for line in {x.strip(" ") for x in (text or "").split("\n")} - {""}:
+        for line in {x.strip(BLANKS) for x in (text or "").split("\n")} - {""}:
             sites[line].add(site or "")
             if key is not None:
                 keeper[line] = min(keeper.get(line, key), key)
-    for least in (3, 8):
+    for least, held in ((3, 10**6), (8, 10**6), (3, 0)):  # the lines in every task, or joined
         df = clash(make(rows))
-        out = line_dedup.dedup_lines(df, min_sites=least)
+        out = line_dedup.dedup_lines(df, min_sites=least, broadcast_lines=held)
         assert set(out.columns) == {*df.columns, "n_lines", "n_removed"}
         want = []
         for key, text, _ in rows:
             lines = (text or "").split("\n")
-            left = [x for x in lines if x.strip(" ") == "" or len(sites[x.strip(" ")]) < least or keeper[x.strip(" ")] == key]
+            left = [x for x in lines if x.strip(BLANKS) == "" or len(sites[x.strip(BLANKS)]) < least or keeper[x.strip(BLANKS)] == key]
             want.append((key, "\n".join(left), len(lines), len(lines) - len(left)))
         assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()), key=repr) == sorted(want, key=repr)
     assert line_dedup.dedup_lines(none).collect() == []
@@ -205,6 +206,10 @@ def test_long_lines_go_from_two_documents_on(make, clash):
     assert out == {1: (f"{long}\nown 1", 0), 2: ("own 2", 1), 3: (short, 1), 4: (f"{other}\n{other}", 0), 5: (f"{short}\nown 5", 0), None: ("x", 1), 6: ("y", 0)}
     kept = line_dedup.dedup_lines(make(rows), long_words=None).collect()
     assert all(r.n_removed == 0 for r in kept)
+    for held in (10**6, 0):  # rows with null or repeated keys, each for itself
+        odd = [(None, "many\na", f"s{i}") for i in range(9)] + [(7, f"all\nb{i}", f"s{i}") for i in range(9)]
+        out = line_dedup.dedup_lines(make(odd), broadcast_lines=held).collect()
+        assert sorted((str(r.doc_id), r.text) for r in out) == sorted([("None", "many\na")] * 9 + [("7", f"all\nb{i}") for i in range(9)])
 
 
 def test_sites_that_share_registers_still_count(make):
