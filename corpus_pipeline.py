@@ -19,31 +19,50 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject. It learns from labels as op1 does."""
+    """Documents that the classifier doesn't reject. It learns from labels as op1 does.
+
+    A null text is scored as an empty one; repeated rows are judged alike, each for itself; other nulls don't matter. Without
+    labels of both classes every document gets one score, 0.5 for none at all, and stays. An empty table stays empty.
+    """
     labels = table(spark, sf_dir, "labels").where(~quality.in_fold("doc_id", 5, 0))
     return quality.keep_quality(docs, quality.fit_quality(docs, labels))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without cross-site boilerplate lines. A document of which nothing is left goes;
-    one that was empty before stays."""
+    """Texts without cross-site boilerplate lines and repeated long lines. A document of which nothing is left goes;
+    one that was empty before stays.
+
+    A null text becomes an empty one, a null source is a site of its own, n_chars is counted anew. Repeated rows are one
+    document to the rules, and each is cleaned. An empty table stays empty.
+    """
     cleaned = line_dedup.dedup_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (F.trim(F.translate("text", "\n", "")) == "")
+    emptied = (F.col("n_removed") > 0) & (line_dedup.trimmed(F.col("text")) == "")
     return cleaned.where(~emptied).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, the one with the smallest id.
+
+    Texts without words stay, also null ones, and so do rows with a null id. Repeated rows stay or go together.
+    An empty table stays empty.
+    """
     return minhash.drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
+    """Documents that overlap with no benchmark item.
+
+    Null and empty texts overlap with nothing; with an empty benchmark all documents stay. Rows of one id, also of the null
+    one, go together. An empty table stays empty.
+    """
     return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences.
+
+    A null or empty text is its end token alone; repeated rows are packed as often as they occur. An empty table has no pieces.
+    """
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
