@@ -8,7 +8,7 @@
 3. Pairs that pass a length filter and a signature filter are verified on full sets.
    Verified links give components.
 4. Only where a bucket still holds several components are its other pairs compared, across
-   components. Large buckets first get further leaders, as long as that joins much; then
+   components. Such buckets first get further leaders, as long as that joins much; then
    blocks compare the rest, each pair in the first band that it shares. A block verifies pairs
    on full sets and returns the links that join components, never its pairs.
 
@@ -44,6 +44,8 @@ class NearDupConfig:
     #: Members of a block of a bucket, and shingles in their sets; they bound a task's memory.
     block: int = 512
     block_shingles: int = 1 << 20
+    #: Members of a bucket's largest component that the members outside it are compared with before all others.
+    further: int = 4
     #: Documents whose ids are broadcast to find their texts (16 bytes each); more take a shuffle.
     broadcast_ids: int = BROADCAST_IDS
 
@@ -197,12 +199,15 @@ def open_members(members: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def next_leaders(members: DataFrame, config: NearDupConfig) -> DataFrame:
-    """u, v: in buckets with more than a block outside their largest component, the smallest member out there
-    with all members of other components."""
+    """u, v: in every open bucket a few members of its largest component, drawn by a hash, with all members outside it; in
+    buckets with more than a block outside, also the smallest member out there with all members of other components."""
+    draws = [F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("drawn"), "id")).getField("id") for k in range(config.further)]
+    few_inside = members.where("component = top").groupBy("bucket").agg(F.array_distinct(F.array(*draws)).alias("drawn")).select("bucket", F.explode("drawn").alias("leader"))
+    outside = members.where("component <> top").select("bucket", "id").join(few_inside, "bucket").select("id", "leader")
     large = members.where(F.col("n_out") > config.block)
     lead = large.where("component <> top").groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("lead")).select("bucket", F.col("lead.id").alias("leader"), F.col("lead.component").alias("own"))
-    met = large.join(lead, "bucket").where("component <> own")
-    return met.select(F.greatest("id", "leader").alias("u"), F.least("id", "leader").alias("v")).distinct()
+    apart = large.join(lead, "bucket").where("component <> own").select("id", "leader")
+    return outside.unionByName(apart).select(F.greatest("id", "leader").alias("u"), F.least("id", "leader").alias("v")).distinct()
 
 
 def blocks_of(members: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
@@ -331,21 +336,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", co
     # A bucket's leader has met all of its members by now; two others at least make an open pair.
     others = members.where("size > 2").select("bucket", "band", "id")
     met = materialize(open_members(others, component), "open")
-    outside = _outside(met, config)
+    outside = _outside(met)
     while outside:
         more = leader_links(docs, next_leaders(met, config), near, key, text, config)
         if not more.isEmpty():
-            before, links = links, materialize(links.unionByName(more), "links")
-            component = connected_components(links)
-            release(before, met)
+            component = connected_components(_with_more(component, more))
+            release(met)
             met = materialize(open_members(others, component), "open")
         release(more)
-        last, outside = outside, _outside(met, config)
+        last, outside = outside, _outside(met)
         if outside * 4 > last * 3:
             break  # leaders join little here: the rest is compared in blocks
     more = joining_links(docs, met, near, key, text, config)
     if not more.isEmpty():
-        component = connected_components(links.unionByName(more))
+        component = connected_components(_with_more(component, more))
     release(leaders, members, ids, near, met, links, more)
     labels = nodes.select("set_hi", "set_lo", "id").join(component.withColumnRenamed("node", "id"), "id", "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component_id"))
     found = sketch.select(key, "n_shingles", "set_hi", "set_lo").join(labels, ["set_hi", "set_lo"], "left")
@@ -353,9 +357,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", co
     return found.select(key, "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col(key)).alias("kept"))
 
 
-def _outside(members: DataFrame, config: NearDupConfig) -> int:
-    """Members outside the largest component of their bucket, in buckets where they are more than a block."""
-    return members.where((F.col("n_out") > config.block) & (F.col("component") != F.col("top"))).count()
+def _with_more(component: DataFrame, more: DataFrame) -> DataFrame:
+    """Links that reach as far as those that made the components and ``more`` together: a flat star for each component
+    settles in fewer rounds than its links."""
+    return component.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
+
+
+def _outside(members: DataFrame) -> int:
+    """Members outside the largest component of their bucket."""
+    return members.where("component <> top").count()
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", config: NearDupConfig | None = None) -> DataFrame:
