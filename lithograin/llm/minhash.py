@@ -210,24 +210,47 @@ def next_leaders(members: DataFrame, config: NearDupConfig) -> DataFrame:
     return outside.unionByName(apart).select(F.greatest("id", "leader").alias("u"), F.least("id", "leader").alias("v")).distinct()
 
 
-def blocks_of(members: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
-    """Each member once for every block (p, q) that its part is in. A bucket's members outside its largest
-    component make parts of their own, which meet all parts; the parts inside it meet only those. A part has
-    about ``block`` members, and fewer where their sets are large. The rows carry
-    what a block compares, so that nothing is joined to them once they are repeated."""
-    rows = members.join(nodes.select("id", "n", "sig"), "id").withColumn("out", F.col("component") != F.col("top"))
+def by_document(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, component, n, sig, places (bucket, band, top; one for each band at most): what blocks compare, joined once for
+    each document and not for each bucket that it is in."""
+    places = members.groupBy("id").agg(F.min("component").alias("component"), F.collect_list(F.struct("bucket", "band", "top")).alias("places"))
+    return places.join(nodes.select("id", "n", "sig"), "id")
+
+
+def _placed(gathered: DataFrame, *columns: str) -> DataFrame:
+    """A row for each bucket of each document."""
+    rows = gathered.select("id", "component", "n", *columns, F.explode("places").alias("place"))
+    return rows.select("place.bucket", "place.band", "id", "component", "n", *columns, (F.col("component") != F.col("place.top")).alias("out"))
+
+
+def bucket_parts(gathered: DataFrame, config: NearDupConfig) -> DataFrame:
+    """bucket, outer, inner (numbers of parts), repeated (rows of all its blocks)."""
 
     def parts(side: str) -> list:
         own = F.when(F.col("out") == F.lit(side == "outer"), F.col("n"))
-        return [F.greatest(F.ceil(F.count(own) / config.block), F.ceil(F.sum(own) / config.block_shingles), F.lit(1)).cast("int").alias(side)]
+        return [F.greatest(F.ceil(F.count(own) / config.block), F.ceil(F.sum(own) / config.block_shingles), F.lit(1)).cast("int").alias(side), F.count(own).alias(f"n_{side}")]
 
-    sizes = rows.groupBy("bucket").agg(*parts("outer"), *parts("inner"))
+    sizes = _placed(gathered).groupBy("bucket").agg(*parts("outer"), *parts("inner"))
+    return sizes.select("bucket", "outer", "inner", (F.col("n_outer") * (F.col("outer") + F.col("inner")) + F.col("n_inner") * F.col("outer")).alias("repeated"))
+
+
+def dealt_to_blocks(gathered: DataFrame, parts: DataFrame) -> DataFrame:
+    """Each member once for every block (p, q) that its part is in; see ``blocks_of``."""
     drawn = F.xxhash64(F.lit("block"), "id")
-    dealt = rows.join(sizes, "bucket").withColumn("part", F.when(F.col("out"), F.pmod(drawn, F.col("outer"))).otherwise(F.col("outer") + F.pmod(drawn, F.col("inner"))).cast("int"))
+    dealt = _placed(gathered, "sig").join(parts.select("bucket", "outer", "inner"), "bucket").withColumn("part", F.when(F.col("out"), F.pmod(drawn, F.col("outer"))).otherwise(F.col("outer") + F.pmod(drawn, F.col("inner"))).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("out"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)))
     return spread.select("bucket", "band", "id", "component", "n", "sig", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
 
 
+def blocks_of(members: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
+    """Each member once for every block (p, q) that its part is in. A bucket's members outside its largest
+    component make parts of their own, which meet all parts; the parts inside it meet only those. A part has
+    about ``block`` members, and fewer where their sets are large. The rows carry
+    what a block compares, so that nothing is joined to them once they are repeated."""
+    gathered = by_document(members, nodes)
+    return dealt_to_blocks(gathered, bucket_parts(gathered, config))
+
+
 def _likely_in_block(pdf: pd.DataFrame, config: NearDupConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers i, j and equal minima of the block's pairs that pass all filters,
     lie in different components and share no band before the block's own."""
@@ -267,9 +290,11 @@ def joining_links(docs: DataFrame, members: DataFrame, nodes: DataFrame, key: st
     """u, v: verified links between components that share a bucket; in each block only those
     that join what the block hasn't joined yet. ``members``: what ``open_members`` gives."""
     kind = nodes.schema["id"].dataType.simpleString()
-    blocks = blocks_of(members, nodes, config)
+    gathered = materialize(by_document(members, nodes), "gathered")
+    parts = materialize(bucket_parts(gathered, config), "parts")
+    blocks = dealt_to_blocks(gathered, few(parts, config.broadcast_ids))
     # About a block a task: its rows are few bytes and much work, so bytes don't tell how many tasks are needed.
-    tasks = min(MOST_TASKS, blocks.count() // config.block + 1)
+    tasks = min(MOST_TASKS, (parts.agg(F.sum("repeated")).first()[0] or 0) // config.block + 1)
     names = ["bucket", "band", "id", "component", "part", "p", "q"]
 
     def involved(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -305,9 +330,11 @@ def joining_links(docs: DataFrame, members: DataFrame, nodes: DataFrame, key: st
                 parent[max(x, y)] = min(x, y)
         return pd.DataFrame(links, columns=["u", "v"]).astype(pdf["id"].dtype)
 
-    whole = asked.join(nodes.select("id", "n", "sig"), "id").join(sets, "id")
+    # Again once for each document, and then a row for each of its blocks.
+    wanted = asked.groupBy("id").agg(F.collect_list(F.struct(*(c for c in names if c != "id"))).alias("blocks"))
+    whole = wanted.join(gathered.select("id", "n", "sig"), "id").join(sets, "id").select("id", "n", "sig", "shingles", F.explode("blocks").alias("block")).select("block.*", "id", "n", "sig", "shingles")
     found = materialize(by_block(whole, tasks).applyInPandas(verify, f"u {kind}, v {kind}").hint("rebalance"), "joining")
-    release(asked, sets)
+    release(gathered, parts, asked, sets)
     return found
 
 

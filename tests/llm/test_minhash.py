@@ -97,6 +97,39 @@ def test_bands_of_one_row(make):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == brute(rows, 55)
 
 
+def rows_of_id_joins(spark, after):
+    """Rows that inner joins by id gave in the queries after this one, and the last query's number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    total, last, found = 0, after, store.executionsList().iterator()
+    while found.hasNext():
+        number = found.next().executionId()
+        last = max(last, number)
+        if number <= after:
+            continue
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes().iterator()
+        while nodes.hasNext():
+            node = nodes.next()
+            if "Join" in node.name() and re.search(r"\[id#\d+L?\], \[id#\d+L?\], Inner", node.desc()):
+                metrics = node.metrics().iterator()
+                while metrics.hasNext():
+                    m = metrics.next()
+                    if m.name() == "number of output rows" and (value := values.get(m.accumulatorId())).isDefined():
+                        total += int(value.get().replace(",", ""))
+    return total, last
+
+
+def test_signatures_are_joined_once_for_each_document(spark, make):
+    # All share a passage and many buckets, none are linked: every bucket goes to blocks.
+    passage = " ".join(f"p{i}" for i in range(100))
+    rows = [(k, f"{passage} " + " ".join(f"o{k}_{i}" for i in range(60))) for k in range(40)]
+    _, last = rows_of_id_joins(spark, -1)
+    found = minhash.near_duplicates(make(rows), config=NearDupConfig(rows=1, block=4)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == brute(rows)
+    joined, _ = rows_of_id_joins(spark, last)
+    assert 0 < joined <= 4 * len(rows)
+
+
 def test_odd_rows(odd, none):
     found = minhash.near_duplicates(odd).collect()
     assert len(found) == odd.count()
