@@ -12,11 +12,14 @@ P(token | context) = P(class | context) * P(slot | class, context) [* P(rare wor
 Bigram and trigram features are hashes of whole words, of rare ones too; the rows that they are hashed
 to grow with the square root of the training tokens.
 
-Training is one synchronous update: tasks count, for every feature row, which targets stood there;
-these counts, summed over the whole corpus, less what the weights expect that have no context yet, are the
-gradient. Every weight moves by the logarithm of observed over expected (iterative scaling), damped where a row was seen
-rarely, and by a fixed step, because several features act at once. Counts are whole numbers, so the weights don't depend
-on how texts are dealt to tasks. Scoring is in numpy batches. Words that aren't among the
+Training is iterative scaling in synchronous rounds. Tasks count, for every feature row, which targets stood there; these
+counts, summed over the whole corpus, are the observed side of all rounds. The first update starts from weights without
+context, whose expectation follows from the priors; every weight moves by the logarithm of observed over expected, damped
+where a row was seen rarely, and by a fixed step. Each further round passes over all training texts again, sums
+what the model with all its features together expects in every row, and moves every weight by the logarithm of
+observed over expected, divided by the number of features that act at once, so that a round doesn't lower the likelihood of
+the training texts but for the damping. Both sums are whole numbers (probabilities in 4096ths, rounded up or down by a hash, so
+that small ones aren't lost), so the weights don't depend on how texts are dealt to tasks. Scoring is in numpy batches. Words that aren't among the
 bounded number of frequent ones get their counts by a join.
 """
 
@@ -25,7 +28,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,8 @@ class LmConfig:
     damping: float = 30.0
     #: Step of each feature: class by anchor, bigram, trigram; slot by anchor, bigram.
     steps: tuple[float, ...] = (0.6, 0.7, 0.5, 0.6, 0.7)
+    #: Rounds after the first update, each a pass over the training texts.
+    rounds: int = 0
     #: Distinct tokens a counting task holds before it hands them on.
     flush: int = 500_000
 
@@ -72,6 +77,9 @@ class LmConfig:
         return min(self.most_rows, max(self.least_rows, self.classes, 1 << (wanted.bit_length() - 1)))
 
 
+#: What ``score_texts`` trains by unless it is told otherwise.
+TRAINED = LmConfig(rounds=1)
+
 END = b""
 #: Bytes of a word's end that its class is found by.
 ENDING = 8
@@ -316,44 +324,124 @@ def priors(vocabulary: Vocabulary, config: LmConfig) -> tuple[np.ndarray, np.nda
     return np.log(mass.sum(axis=1) / mass.sum()).astype(np.float32), slot.astype(np.float32)
 
 
-def train_model(docs: DataFrame, text: str, shared, config: LmConfig) -> MaxEnt:
-    """The update: counts of targets by feature row from all texts, summed, and the weights that they make."""
-    vocabulary = shared.value
-    shapes = table_shapes(config.rows(vocabulary.total), config)
+#: Probabilities are summed in this unit, tokens are weighed at once, and a row's sums are handed on from this on.
+UNIT, CHUNK, FULL = 1 << 12, 1 << 15, 1 << 30
+
+
+def summed_rows(docs: DataFrame, text: str, total: int, config: LmConfig, tally) -> list[np.ndarray]:
+    """A table (rows x targets) for each feature: what ``tally`` adds up over all texts.
+
+    ``tally(pieces, tables, hand_on)`` fills a task's tables of 32-bit whole numbers; ``hand_on(k, rows)`` gives the
+    batches that hand on rows of table k. Every task sends its tables, so there are no more tasks than
+    cores call for (two each) unless the texts are several times larger than the tables."""
+    shapes = table_shapes(config.rows(total), config)
     width = math.gcd(config.classes, config.slots)  # targets in a line that is sent
     lines = [rows * targets // width for rows, targets in shapes]
     names = ["line", *(f"w{i}" for i in range(width))]
+    most = max(2 * docs.sparkSession.sparkContext.defaultParallelism, total // sum(rows * targets for rows, targets in shapes))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_by_worker("language model")
-        vocabulary = shared.value
-        seen = [np.zeros(rows * targets, dtype=np.int32) for rows, targets in shapes]
-        for batch in batches:
-            for piece in text_pieces(batch, 0, max_bytes=1 << 19):
-                t = token_batch(piece.column(0), vocabulary, config)
-                for k, (own, (_, targets)) in enumerate(zip(seen, shapes, strict=True)):
-                    np.add.at(own, t.features[k] * targets + (t.cls if k < 3 else t.slot), 1)
-        for k, own in enumerate(seen):
-            own = own.reshape(-1, width)
-            held = np.flatnonzero(own.any(axis=1))
+        tables = [np.zeros(shape, dtype=np.int32) for shape in shapes]
+
+        def hand_on(k: int, rows: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+            own, a_row = tables[k].reshape(-1, width), shapes[k][1] // width
+            held = np.arange(len(own)) if rows is None else (rows[:, None] * a_row + np.arange(a_row)).ravel()
+            held = held[own[held].any(axis=1)]
             for at in range(0, len(held), 20_000):
                 part = held[at : at + 20_000]
                 yield pa.RecordBatch.from_arrays([pa.array((part + sum(lines[:k])).astype(np.int32)), *(pa.array(np.ascontiguousarray(own[part, i])) for i in range(width))], names=names)
 
-    gathered = docs.select(text_or_empty(text).alias(text)).mapInArrow(count, "line int, " + ", ".join(f"w{i} int" for i in range(width)))
+        yield from tally((piece.column(0) for batch in batches for piece in text_pieces(batch, 0, max_bytes=1 << 19)), tables, hand_on)
+        for k in range(len(tables)):
+            yield from hand_on(k)
+
+    gathered = docs.select(text_or_empty(text).alias(text)).coalesce(most).mapInArrow(task, "line int, " + ", ".join(f"w{i} int" for i in range(width)))
     merged = gathered.groupBy("line").agg(*(F.sum(c).cast("float").alias(c) for c in names[1:])).toArrow()
     line = merged.column("line").to_numpy()
     flat = np.zeros((sum(lines), width), dtype=np.float32)
     for i in range(width):
         flat[line, i] = merged.column(f"w{i}").to_numpy()
+    ends = np.cumsum(lines)
+    return [flat[end - n : end].reshape(shape) for end, n, shape in zip(ends, lines, shapes, strict=True)]
+
+
+def observed_counts(docs: DataFrame, text: str, shared, config: LmConfig) -> list[np.ndarray]:
+    """How often each target stood in each feature row."""
+
+    def tally(pieces, tables, hand_on):
+        vocabulary = shared.value
+        for texts in pieces:
+            t = token_batch(texts, vocabulary, config)
+            for k, own in enumerate(tables):
+                np.add.at(own.reshape(-1), t.features[k] * own.shape[1] + (t.cls if k < 3 else t.slot), 1)
+        yield from ()
+
+    return summed_rows(docs, text, shared.value.total, config, tally)
+
+
+def expected_counts(docs: DataFrame, text: str, shared, config: LmConfig) -> list[np.ndarray]:
+    """How often the model expects each target in each feature row, summed over the contexts of all texts."""
+
+    def tally(pieces, tables, hand_on):
+        vocabulary, model = shared.value
+        for texts in pieces:
+            whole = token_batch(texts, vocabulary, config)
+            place = np.arange(len(whole.cls)) - np.repeat(whole.first[:-1], np.diff(whole.first))
+            for at in range(0, len(place), CHUNK):
+                t = replace(whole, cls=whole.cls[at : at + CHUNK], features=[f[at : at + CHUNK] for f in whole.features])
+                drawn = mix64((t.features[1].astype(np.uint64) << np.uint64(40)) ^ (t.features[2].astype(np.uint64) << np.uint64(20)) ^ place[at : at + CHUNK].astype(np.uint64))
+                drawn = (drawn >> np.uint64(40)).astype(np.float32)[:, None] / np.float32(1 << 24)
+                parts = []
+                for z in (model.log_classes(t), model.log_slots(t)):
+                    np.exp(z, out=z)
+                    z *= UNIT
+                    z += drawn
+                    parts.append(z.astype(np.int32))
+                for k, own in enumerate(tables):
+                    order = np.argsort(t.features[k])
+                    row = t.features[k][order]
+                    cuts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                    row = row[cuts]
+                    now = own[row] + np.add.reduceat(parts[k >= 3][order], cuts, axis=0, dtype=np.int32)
+                    own[row] = now
+                    if now.max() >= FULL:
+                        full = row[now.max(axis=1) >= FULL]
+                        yield from hand_on(k, full)
+                        own[full] = 0
+
+    tables = summed_rows(docs, text, shared.value[0].total, config, tally)
+    for own in tables:
+        own /= UNIT
+    return tables
+
+
+def train_model(docs: DataFrame, text: str, shared, config: LmConfig) -> MaxEnt:
+    """Weights from counts of targets by feature row: the first update, then rounds against what the model expects."""
+    vocabulary = shared.value
+    observed = observed_counts(docs, text, shared, config)
     class_prior, slot_prior = priors(vocabulary, config)
-    tables, at = [], 0
-    for k, (rows, targets) in enumerate(shapes):
-        observed = flat[at : at + lines[k]].reshape(rows, targets)
-        at += lines[k]
-        own = class_prior[None] if k < 3 else np.repeat(slot_prior, rows // config.classes, axis=0)
-        tables.append(step_of(observed, own, config.damping, config.steps[k]))
-    return MaxEnt(class_prior, slot_prior, tables)
+
+    def prior_of(k: int) -> np.ndarray:
+        return class_prior[None] if k < 3 else np.repeat(slot_prior, len(observed[k]) // config.classes, axis=0)
+
+    model = MaxEnt(class_prior, slot_prior, [step_of(own, prior_of(k), config.damping, config.steps[k]) for k, own in enumerate(observed)])
+    for _ in range(config.rounds):
+        sent = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
+        expected = expected_counts(docs, text, sent, config)
+        for k, weights in enumerate(model.tables):
+            weights += scaling(observed[k], expected[k], prior_of(k), config.damping, 3 if k < 3 else 2)
+        sent.destroy()
+    return model
+
+
+def scaling(observed: np.ndarray, expected: np.ndarray, log_prior: np.ndarray, damping: float, active: int) -> np.ndarray:
+    """What a round adds: log(observed / expected), both damped alike, over the number of features that act at once."""
+    added = np.maximum(damping * np.exp(log_prior), 1e-30)
+    out = np.log(observed + added)
+    out -= np.log(expected + added)
+    out *= np.where(log_prior > UNUSED / 2, np.float32(1 / active), np.float32(0))
+    return out
 
 
 def step_of(observed: np.ndarray, log_prior: np.ndarray, damping: float, step: float) -> np.ndarray:
@@ -384,7 +472,7 @@ def score_texts(docs: DataFrame, trained: Column, key: str = "doc_id", text: str
     A null or empty text is its end token alone. Repeated rows are scored alike. Without
     training rows the base gives every token log10(1), and an empty table an empty result.
     """
-    config = config or LmConfig()
+    config = config or TRAINED
     bound_batches(docs)
     kind = docs.schema[key].dataType.simpleString()
     model, counts, vocabulary, known_from = fit_model(docs.where(trained), text, config)

@@ -1,5 +1,6 @@
 """Quality field and language model: exact inference, probabilities, held-out results."""
 
+import dataclasses
 import itertools
 import math
 import random
@@ -180,6 +181,36 @@ def test_update_against_a_plain_version(make):
                     assert abs(weights.tables[k][row, j] - want) < 1e-3
 
 
+def test_rounds_weigh_what_the_whole_model_expects(make, monkeypatch):
+    rows = lm_corpus(random.Random(15), 80)
+    texts = pa.array([x for _, x in rows])
+    monkeypatch.setattr(lm, "FULL", 1 << 14)  # rows are handed on again and again
+    before, after = (lm.fit_model(make(rows), "text", dataclasses.replace(CONFIG, rounds=n))[0].value[1] for n in (0, 1))
+    vocabulary = lm.fit_model(make(rows), "text", CONFIG)[0].value[0]
+    t = lm.token_batch(texts, vocabulary, CONFIG)
+    parts = [np.exp(before.log_classes(t).astype(float)), np.exp(before.log_slots(t).astype(float))]
+    for k, (n, targets) in enumerate(lm.table_shapes(CONFIG.rows(vocabulary.total), CONFIG)):
+        observed, expected = np.zeros((n, targets)), np.zeros((n, targets))
+        np.add.at(observed, (t.features[k], t.cls if k < 3 else t.slot), 1)
+        np.add.at(expected, t.features[k], parts[k >= 3])
+        prior = np.exp(before.class_prior[None] if k < 3 else np.repeat(before.slot_prior, n // CONFIG.classes, axis=0)) + np.zeros((n, 1))
+        want = np.log(np.maximum(observed + CONFIG.damping * prior, 1e-30) / np.maximum(expected + CONFIG.damping * prior, 1e-30)) / (3 if k < 3 else 2)
+        moved, used = after.tables[k] - before.tables[k], prior > 1e-3
+        assert np.abs(moved).max() > 0.01
+        assert np.abs(moved - want)[used].max() < 0.05
+
+
+def test_rounds_raise_the_likelihood_and_do_not_depend_on_partitions(make):
+    rows = lm_corpus(random.Random(16), 120)
+    scored = {}
+    for n, parts in ((0, 3), (1, 3), (3, 3), (3, 7)):
+        scored[n, parts] = {r.doc_id: r.score for r in lm.score_texts(make(rows, parts), F.lit(True), config=dataclasses.replace(CONFIG, rounds=n)).collect()}
+    total = [sum(scored[k].values()) for k in ((0, 3), (1, 3), (3, 3))]
+    assert total[0] < total[1] < total[2]
+    assert max(abs(x - scored[3, 7][i]) for i, x in scored[3, 3].items()) < 1e-9
+    assert lm.TRAINED.rounds >= 1
+
+
 def test_feature_rows_grow_with_the_corpus():
     config = lm.LmConfig()
     sizes = [config.rows(n) for n in (0, 10**6, 10**7, 10**8, 10**9, 10**10)]
