@@ -19,8 +19,8 @@ where a row was seen rarely, and by a fixed step. Each further round passes over
 what the model with all its features together expects in every row, and moves every weight by the logarithm of
 observed over expected, divided by the number of features that act at once, so that a round doesn't lower the likelihood of
 the training texts but for the damping. Both sums are whole numbers (probabilities in 4096ths, rounded up or down by a hash, so
-that small ones aren't lost), so the weights don't depend on how texts are dealt to tasks. Scoring is in numpy batches. Words that aren't among the
-bounded number of frequent ones get their counts by a join.
+that small ones aren't lost), so the weights don't depend on how texts are dealt to tasks. Passes over texts multiply rows of exponentials
+(``Factors``), in numpy batches. Words that aren't among the bounded number of frequent ones get their counts by a join.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -285,24 +285,18 @@ class MaxEnt:
     slot_prior: np.ndarray  # classes x slots; a slot that isn't used has a very small one
     tables: list[np.ndarray]
 
-    def class_scores(self, t: TokenBatch) -> np.ndarray:
+    def log_classes(self, t: TokenBatch) -> np.ndarray:
         z = self.tables[0][t.features[0]]
         z += self.tables[1][t.features[1]]
         z += self.tables[2][t.features[2]]
         z += self.class_prior
-        return z
+        return _log_softmax(z)
 
-    def slot_scores(self, t: TokenBatch, cls: np.ndarray | None = None) -> np.ndarray:
+    def log_slots(self, t: TokenBatch, cls: np.ndarray | None = None) -> np.ndarray:
         z = self.tables[3][t.features[3]]
         z += self.tables[4][t.features[4]]
         z += self.slot_prior[t.cls if cls is None else cls]
-        return z
-
-    def log_classes(self, t: TokenBatch) -> np.ndarray:
-        return _log_softmax(self.class_scores(t))
-
-    def log_slots(self, t: TokenBatch, cls: np.ndarray | None = None) -> np.ndarray:
-        return _log_softmax(self.slot_scores(t, cls))
+        return _log_softmax(z)
 
     def log_probabilities(self, t: TokenBatch) -> np.ndarray:
         """Of each token's class and slot, natural."""
@@ -310,18 +304,8 @@ class MaxEnt:
         return self.log_classes(t)[at, t.cls].astype(np.float64) + self.log_slots(t)[at, t.slot]
 
 
-def _row_max(z: np.ndarray) -> np.ndarray:
-    """``z.max(axis=1, keepdims=True)``, halving whole columns, which is faster for rows this short."""
-    while (n := z.shape[1]) > 1:
-        top = np.maximum(z[:, : n // 2], z[:, n // 2 : n // 2 * 2])
-        if n % 2:
-            np.maximum(top[:, 0], z[:, -1], out=top[:, 0])
-        z = top
-    return z
-
-
 def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= _row_max(z)
+    z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
@@ -341,7 +325,77 @@ def priors(vocabulary: Vocabulary, config: LmConfig) -> tuple[np.ndarray, np.nda
 
 
 #: Probabilities are summed in this unit, tokens are weighed at once, and a row's sums are handed on from this on.
-UNIT, CHUNK, FULL = 1 << 12, 1 << 13, 1 << 30
+UNIT, CHUNK, FULL = 1 << 12, 1 << 11, 1 << 30
+#: Tables of the class softmax and of the slot softmax.
+CLASS_TABLES, SLOT_TABLES = (0, 1, 2), (3, 4)
+#: Logarithm of the least factor beside its row's greatest, and the products that 32 bits are trusted with.
+LEAST_FACTOR, LEAST_PRODUCT = -80.0, 1e-30
+
+
+@dataclass
+class Factors:
+    """A model for passes over texts: its weights as exponentials, a table for each feature, a row's greatest 1,
+    the priors in the first table of each softmax. A softmax is a product of rows over its sum, so that no token needs
+    an exponential. Slots that aren't used are 0 in their first table. Products that 32 bits don't hold are made again from logarithms."""
+
+    tables: list[np.ndarray]
+
+    @classmethod
+    def of(cls, model: MaxEnt) -> Factors:
+        slot_prior = np.repeat(model.slot_prior, len(model.tables[3]) // len(model.slot_prior), axis=0)
+        out = []
+        for k, weights in enumerate(model.tables):
+            prior = {0: model.class_prior[None], 3: slot_prior}.get(k)
+            z = weights.copy() if prior is None else weights + prior
+            z -= z.max(axis=1, keepdims=True)
+            np.maximum(z, LEAST_FACTOR, out=z)
+            np.exp(z, out=z)
+            if prior is not None:
+                z *= prior > UNUSED / 2
+            out.append(z)
+        return cls(out)
+
+    def products(self, features: list[np.ndarray], tables: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers in proportion to each token's probabilities, and their sums."""
+        first, *others = tables
+        z = self.tables[first].take(features[first], axis=0)
+        for k in others:
+            z *= self.tables[k].take(features[k], axis=0)
+        return z, np.einsum("ij->i", z)  # the same sums as ``z.sum(axis=1)``, faster for short rows
+
+    def logs(self, features: list[np.ndarray], tables: tuple[int, ...], at: np.ndarray) -> np.ndarray:
+        """Logarithms of the products of some tokens, their greatest 0."""
+        with np.errstate(divide="ignore"):
+            z = sum(np.log(self.tables[k][features[k][at]].astype(np.float64)) for k in tables)
+        return z - z.max(axis=1, keepdims=True)
+
+    def probabilities(self, features: list[np.ndarray], tables: tuple[int, ...], unit: float = 1.0) -> np.ndarray:
+        """Of all targets, times ``unit``."""
+        z, total = self.products(features, tables)
+        low = np.flatnonzero(total < LEAST_PRODUCT)
+        if len(low):
+            z[low] = np.exp(self.logs(features, tables, low))
+            total[low] = z[low].sum(axis=1)
+        z *= (np.float32(unit) / total)[:, None]
+        return z
+
+    def log_probabilities(self, t: TokenBatch) -> np.ndarray:
+        """Of each token's class and slot, natural."""
+        out = np.zeros(len(t.cls))
+        for at in range(0, len(out), CHUNK):
+            part = slice(at, at + CHUNK)
+            features = [f[part] for f in t.features]
+            for tables, target in ((CLASS_TABLES, t.cls[part]), (SLOT_TABLES, t.slot[part])):
+                z, total = self.products(features, tables)
+                own = z[np.arange(len(target)), target].astype(np.float64)
+                low = np.flatnonzero(own < LEAST_PRODUCT)
+                own[low] = 1.0
+                found = np.log(own) - np.log(total, dtype=np.float64, where=total > 0, out=np.zeros(len(total)))
+                if len(low):
+                    logs = self.logs(features, tables, low)
+                    found[low] = logs[np.arange(len(low)), target[low]] - np.log(np.exp(logs).sum(axis=1))
+                out[part] += found
+        return out
 
 
 def summed_rows(docs: DataFrame, text: str, total: int, config: LmConfig, tally) -> list[np.ndarray]:
@@ -389,8 +443,9 @@ def observed_counts(docs: DataFrame, text: str, shared, config: LmConfig) -> lis
         vocabulary = shared.value
         for texts in pieces:
             t = token_batch(texts, vocabulary, config)
+            one = np.ones(len(t.cls), dtype=np.int32)  # of the tables' type, which numpy adds several times as fast as a plain 1
             for k, own in enumerate(tables):
-                np.add.at(own.reshape(-1), t.features[k] * own.shape[1] + (t.cls if k < 3 else t.slot), 1)
+                np.add.at(own.reshape(-1), t.features[k] * own.shape[1] + (t.cls if k < 3 else t.slot), one)
         yield from ()
 
     return summed_rows(docs, text, shared.value.total, config, tally)
@@ -400,33 +455,34 @@ def expected_counts(docs: DataFrame, text: str, shared, config: LmConfig) -> lis
     """How often the model expects each target in each feature row, summed over the contexts of all texts."""
 
     def tally(pieces, tables, hand_on):
-        vocabulary, model = shared.value
+        vocabulary, factors = shared.value
         held = [np.zeros(len(own), dtype=np.int32) for own in tables]  # tokens in a row's sums
+        # Two sums at once where targets are even in number: no sum reaches the 32nd bit.
+        sums = [own.view(np.int64 if own.shape[1] % 2 == 0 else np.int32) for own in tables]
+        steps = [np.arange(own.shape[1]) for own in sums]
         for texts in pieces:
             whole = token_batch(texts, vocabulary, config)
             place = np.arange(len(whole.cls)) - np.repeat(whole.first[:-1], np.diff(whole.first))
+            drawn = mix64((whole.features[1].astype(np.uint64) << np.uint64(40)) ^ (whole.features[2].astype(np.uint64) << np.uint64(20)) ^ place.astype(np.uint64))
+            drawn = (drawn >> np.uint64(40)).astype(np.float32)[:, None] / np.float32(1 << 24)
             for at in range(0, len(place), CHUNK):
-                t = replace(whole, cls=whole.cls[at : at + CHUNK], features=[f[at : at + CHUNK] for f in whole.features])
-                drawn = mix64((t.features[1].astype(np.uint64) << np.uint64(40)) ^ (t.features[2].astype(np.uint64) << np.uint64(20)) ^ place[at : at + CHUNK].astype(np.uint64))
-                drawn = (drawn >> np.uint64(40)).astype(np.float32)[:, None] / np.float32(1 << 24)
+                features = [f[at : at + CHUNK] for f in whole.features]
+                one = np.ones(len(features[0]), dtype=np.int32)
                 parts = []
-                for z in (model.class_scores(t), model.slot_scores(t)):
-                    z -= _row_max(z)
-                    np.exp(z, out=z)
-                    z *= UNIT / z.sum(axis=1, keepdims=True)
-                    z += drawn
+                for softmax in (CLASS_TABLES, SLOT_TABLES):
+                    z = factors.probabilities(features, softmax, UNIT)
+                    z += drawn[at : at + CHUNK]
                     parts.append(z.astype(np.int32))
                 for k, own in enumerate(tables):
-                    # Two sums at once where targets are even in number: no sum reaches the 32nd bit.
-                    kind = np.int64 if own.shape[1] % 2 == 0 else np.int32
-                    added, sums = parts[k >= 3].view(kind), own.view(kind)
-                    np.add.at(sums.reshape(-1), (t.features[k][:, None] * sums.shape[1] + np.arange(sums.shape[1])).ravel(), added.ravel())
-                    np.add.at(held[k], t.features[k], 1)
-                    if held[k].max() >= FULL // (UNIT + 1):
-                        full = np.flatnonzero(held[k] >= FULL // (UNIT + 1))
-                        yield from hand_on(k, full)
-                        own[full] = 0
-                        held[k][full] = 0
+                    places = features[k][:, None] * sums[k].shape[1] + steps[k]
+                    np.add.at(sums[k].reshape(-1), places.ravel(), parts[k >= 3].view(sums[k].dtype).ravel())
+                    np.add.at(held[k], features[k], one)
+                    full = held[k][features[k]] >= FULL // (UNIT + 1)
+                    if full.any():
+                        rows = np.unique(features[k][full])
+                        yield from hand_on(k, rows)
+                        own[rows] = 0
+                        held[k][rows] = 0
 
     tables = summed_rows(docs, text, shared.value[0].total, config, tally)
     for own in tables:
@@ -445,7 +501,7 @@ def train_model(docs: DataFrame, text: str, shared, config: LmConfig) -> MaxEnt:
 
     model = MaxEnt(class_prior, slot_prior, [step_of(own, prior_of(k), config.damping, config.steps[k]) for k, own in enumerate(observed)])
     for _ in range(config.rounds):
-        sent = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
+        sent = docs.sparkSession.sparkContext.broadcast((vocabulary, Factors.of(model)))
         expected = expected_counts(docs, text, sent, config)
         for k, weights in enumerate(model.tables):
             weights += scaling(observed[k], expected[k], prior_of(k), config.damping, 3 if k < 3 else 2)
@@ -473,14 +529,18 @@ def step_of(observed: np.ndarray, log_prior: np.ndarray, damping: float, step: f
     return out
 
 
-def fit_model(docs: DataFrame, text: str, config: LmConfig):
-    """Everything that scoring needs: a broadcast model, the counts, the vocabulary and the least known count."""
-    context = docs.sparkSession.sparkContext
+def learn(docs: DataFrame, text: str, config: LmConfig) -> tuple[MaxEnt, DataFrame, Vocabulary, int]:
+    """The model, the counts, the vocabulary and the least known count."""
     counts = materialize(token_counts(docs, text, config), "counts")
     vocabulary, known_from = fit_vocabulary(counts, config)
-    shared = context.broadcast(vocabulary)
-    model = train_model(docs, text, shared, config)
-    return context.broadcast((vocabulary, model)), counts, vocabulary, known_from
+    model = train_model(docs, text, docs.sparkSession.sparkContext.broadcast(vocabulary), config)
+    return model, counts, vocabulary, known_from
+
+
+def fit_model(docs: DataFrame, text: str, config: LmConfig):
+    """What ``learn`` finds, with the model and the vocabulary broadcast."""
+    model, counts, vocabulary, known_from = learn(docs, text, config)
+    return docs.sparkSession.sparkContext.broadcast((vocabulary, model)), counts, vocabulary, known_from
 
 
 def score_texts(docs: DataFrame, trained: Column, key: str = "doc_id", text: str = "text", config: LmConfig | None = None) -> DataFrame:
@@ -493,13 +553,15 @@ def score_texts(docs: DataFrame, trained: Column, key: str = "doc_id", text: str
     config = config or TRAINED
     bound_batches(docs)
     kind = docs.schema[key].dataType.simpleString()
-    model, counts, vocabulary, known_from = fit_model(docs.where(trained), text, config)
+    learned, counts, vocabulary, known_from = learn(docs.where(trained), text, config)
+    model = docs.sparkSession.sparkContext.broadcast((vocabulary, Factors.of(learned)))
+    del learned
     names = ["row", key, "n_tokens", "n_known", "base", "score", "token", "n"]
     kinds = [pa.int64(), None, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_by_worker("language model")
-        vocabulary, weights = model.value
+        vocabulary, factors = model.value
         task = TaskContext.get()
         row = (task.partitionId() if task else 0) << 40
         norm = math.log10(vocabulary.total + vocabulary.distinct + 1)
@@ -510,7 +572,7 @@ def score_texts(docs: DataFrame, trained: Column, key: str = "doc_id", text: str
         for batch in batches:
             for piece in text_pieces(batch, 1, max_bytes=1 << 17):
                 t = token_batch(piece.column(1), vocabulary, config)
-                value = weights.log_probabilities(t) / ln10
+                value = factors.log_probabilities(t) / ln10
                 tail = (t.rank >= vocabulary.n_head) | (t.rank == -2)
                 value[tail] -= rare[t.cls[tail]]
                 listed = t.rank >= vocabulary.n_head

@@ -211,6 +211,56 @@ def test_rounds_raise_the_likelihood_and_do_not_depend_on_partitions(make):
     assert lm.TRAINED.rounds >= 1
 
 
+def lm_parts(rows, rng, spread):
+    """Vocabulary, tokens and a model of any weights, without Spark."""
+    found = Counter(t for _, x in rows for t in tokens(x) if t)
+    words = sorted(found, key=lambda w: (-found[w], w))
+    n_head, index = 40, lm.WordIndex(hash_words([w.decode() for w in words]))
+    cls, slot, bounds = lm.class_bounds(lm.keys_of(words[:n_head]), CONFIG.classes)
+    rare = np.bincount(1 + np.searchsorted(bounds, lm.keys_of(words[n_head:]), side="right"), minlength=CONFIG.classes).astype(float)
+    vocabulary = lm.Vocabulary(index, np.array([found[w] for w in words], float), n_head, cls, slot, bounds, len(rows), sum(found.values()) + len(rows), len(words), rare, rare)
+    class_prior, slot_prior = lm.priors(vocabulary, CONFIG)
+    tables = [rng.normal(0, spread, shape).astype(np.float32) for shape in lm.table_shapes(CONFIG.rows(vocabulary.total), CONFIG)]
+    return vocabulary, lm.token_batch(pa.array([x for _, x in rows]), vocabulary, CONFIG), lm.MaxEnt(class_prior, slot_prior, tables)
+
+
+@pytest.mark.parametrize("spread", [0.5, 20.0])  # at 20 rows contradict each other by more than 32-bit products hold
+def test_factors_against_logarithms(spread):
+    vocabulary, t, model = lm_parts(lm_corpus(random.Random(17), 200), np.random.default_rng(3), spread)
+    factors = lm.Factors.of(model)
+    at, low = np.arange(len(t.cls)), 0
+    want = np.zeros(len(at))
+    for tables, target, prior in ((lm.CLASS_TABLES, t.cls, model.class_prior[None]), (lm.SLOT_TABLES, t.slot, model.slot_prior[t.cls])):
+        # In 64 bits; a factor is no less than the least one beside its row's greatest.
+        full = {0: model.tables[0] + model.class_prior, 3: model.tables[3] + np.repeat(model.slot_prior, CONFIG.contexts, axis=0)}
+        z = np.zeros((len(at), len(prior[0])))
+        for k in tables:
+            own = full.get(k, model.tables[k]).astype(float)
+            own = np.maximum(own - own.max(axis=1, keepdims=True), lm.LEAST_FACTOR)
+            z += own[t.features[k]]
+        z = np.where(prior > lm.UNUSED / 2, z, -np.inf)
+        z -= np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) + z.max(axis=1, keepdims=True)
+        assert np.abs(factors.probabilities(t.features, tables) - np.exp(z)).max() < 1e-4
+        own, total = factors.products(t.features, tables)
+        low += (own[at, target] < lm.LEAST_PRODUCT).sum()
+        want += z[at, target]
+    got = factors.log_probabilities(t)
+    assert np.isfinite(got).all() and np.abs(got - want).max() < 1e-3
+    assert (low > 0) == (spread > 1)
+    if spread < 1:
+        assert np.abs(got - model.log_probabilities(t)).max() < 1e-4
+
+
+def test_scoring_takes_no_exponential_for_a_token(monkeypatch):
+    _, t, model = lm_parts(lm_corpus(random.Random(18)), np.random.default_rng(4), 0.5)
+    factors, taken = lm.Factors.of(model), []
+    exp = np.exp
+    monkeypatch.setattr(lm.np, "exp", lambda x, *a, **k: taken.append(np.size(x)) or exp(x, *a, **k))
+    factors.log_probabilities(t)
+    factors.probabilities(t.features, lm.CLASS_TABLES)
+    assert not taken and len(t.cls) > 1000
+
+
 def test_feature_rows_grow_with_the_corpus():
     config = lm.LmConfig()
     sizes = [config.rows(n) for n in (0, 10**6, 10**7, 10**8, 10**9, 10**10)]
