@@ -257,6 +257,27 @@ def test_chunks_give_the_tokenizers_ids(tokenizer):
     assert ids[: first[1]].tolist() == tokenizer.encode("a b").ids and ids[first[1] :].tolist() == tokenizer.encode("c  d").ids
 
 
+def test_symbols_at_a_words_end_are_chunks_of_their_own(tokenizer):
+    rng = random.Random(7)
+    stems = sorted({"".join(rng.choice("abcdeimnorstuéß") for _ in range(rng.randint(3, 9))) + "x" for _ in range(300)})
+    tails = ["", ".", ",", "&&&", ".)", "***", "_", "'", "'s."]
+    text = "start " + " ".join(stem + tail for stem in stems for tail in tails)
+    chunked, given = packing.ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json")), []
+    whole = chunked._whole
+    chunked._whole = lambda texts: given.extend(texts) or whole(texts)
+    ids, first = chunked.encode(pa.array([text]))
+    assert ids.tolist() == tokenizer.encode(text).ids and first.tolist() == [0, len(ids)]
+    # Each stem is encoded once, with an apostrophe twice more; nothing stands between chunks.
+    assert "\n" not in "".join(given) and len("".join(given)) < 3 * sum(len(x) + 2 for x in stems) + 50
+    # Letters, symbols, apostrophes and digits in any order.
+    letters = "asdtlmrveSé1'.,;!-_|<>&\"`~"
+    texts = ["".join("".join(rng.choice(letters) for _ in range(rng.randint(0, 7))) + rng.choice(" \n ") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    texts += [t.strip() for t in texts]
+    ids, first = chunked.encode(pa.array(texts))
+    want = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == want
+
+
 def test_sum_of_squares_choice():
     packer = packing.LevelPacker(window=10)
     for counts, size in (({}, 3), ({4: 1, 7: 3}, 3), ({4: 2, 6: 1}, 4), ({5: 4, 2: 1}, 3), ({9: 2}, 1)):
